@@ -17,12 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bites
+from .runtime import bites, ddl, texts, with_columns
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -163,14 +163,14 @@ def scorer(model: ByteCNN | None, block: int = 192):
     """A function from a list of texts to (languages, scores)."""
     tables = model.tables() if model else []
 
-    def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    def score(given: list[str]) -> tuple[list[str], list[float]]:
+        names, scores = ["und"] * len(given), [0.0] * len(given)
         if not model:
             return names, scores
-        live = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        live = [i for i, t in enumerate(given) if _LETTER.search(t)]
         if not live:
             return names, scores
-        cut = [windows(texts[i].encode()) for i in live]
+        cut = [windows(given[i].encode()) for i in live]
         rows, weight = np.concatenate([c[0] for c in cut]), np.concatenate([c[1] for c in cut]).astype(np.float64)
         logs = np.concatenate([log_softmax(np.maximum(pooled(rows[s : s + block], tables, model.biases), 0) @ model.weights + model.bias) for s in range(0, len(rows), block)])
         first = np.cumsum([0] + [len(c[0]) for c in cut])[:-1]
@@ -187,12 +187,11 @@ def scorer(model: ByteCNN | None, block: int = 192):
 def predict(docs: DataFrame, model: ByteCNN | None, chars: int = 1 << 20) -> DataFrame:
     """docs with lang_pred and score, from text alone; columns of those names are replaced."""
     docs = docs.drop("lang_pred", "score")
-    schema = f"{docs._jdf.schema().toDDL()}, lang_pred string, score double" if docs.columns else ""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
-        for frame in bites(frames, "text", chars):
-            names, scores = score([t if isinstance(t, str) else None for t in frame["text"]])
-            yield frame.assign(lang_pred=names, score=scores)
+        for batch in bites(batches, "text", chars):
+            names, scores = score(texts(batch))
+            yield with_columns(batch, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, f"{ddl(docs)}, lang_pred string, score double")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decision_list
+from . import byte_cnn, decision_list, open_window_packing, weak_toxicity, word_bpe
 from .runtime import table
 
 
@@ -21,6 +22,20 @@ def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = weak_toxicity.fit(docs, table(spark, sf_dir, "labels").where(_fold(5) != 0))
+    return weak_toxicity.predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op6_open_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return open_window_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op9_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))

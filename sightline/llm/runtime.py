@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,16 +42,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bites(frames: Iterator[pd.DataFrame], column: str, chars: int) -> Iterator[pd.DataFrame]:
-    """Slices of the frames whose texts have about so many characters together, or one longer text; rows keep their order."""
-    for frame in frames:
-        if not len(frame):
+def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """The texts of a batch; a null counts as empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def bites(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts have about so many bytes together, or one longer text; rows keep their order.
+
+    Arrow batches rather than pandas frames: integers with nulls keep their type there."""
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        sizes = frame[column].map(lambda x: 0 if x is None else len(x)).to_numpy()
+        sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
         begin, total = 0, 0
-        for i, n in enumerate(sizes):
-            if total and total + n > chars:
-                yield frame.iloc[begin:i]
+        for i, n in enumerate(sizes.tolist()):
+            if i > begin and total + n > size:
+                yield batch.slice(begin, i - begin)
                 begin, total = i, 0
-            total += int(n)
-        yield frame.iloc[begin:]
+            total += n
+        yield batch.slice(begin)
+
+
+def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+def from_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def ddl(df: DataFrame) -> str:
+    return df._jdf.schema().toDDL()

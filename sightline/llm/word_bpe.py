@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .pretokens import Split, gather
 from .runtime import bites, cut, from_rows, partitions, texts
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 BITE_BYTES = 160_000
 RECORD = "kind int, chunk long, bucket int, payload binary"
 _RECORD = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -91,41 +91,41 @@ class _Chunk:
     """Documents of one chunk as numbers of distinct pre-tokens, and these pre-tokens."""
 
     def __init__(self):
-        self.docs, self.nulls, self.counts, self.hashes, self.bytes = [], [], [], [], 0
-        self.known = np.zeros(0, np.uint64)
-        self.fresh: list[tuple[np.ndarray, list[str]]] = []
+        self.docs, self.counts, self.splits, self.bytes = [], [], [], 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         given = texts(batch)
         split = Split(given, spaced=True)
-        ids = batch.column("doc_id").to_pylist()
-        self.docs.extend(0 if i is None else i for i in ids)
-        self.nulls.extend(i is None for i in ids)
+        self.docs.extend(batch.column("doc_id").to_pylist())
         self.counts.append(np.diff(split.bounds))
-        self.hashes.append(split.hashes)
-        distinct, where = np.unique(split.hashes, return_index=True)
-        new = ~np.isin(distinct, self.known, assume_unique=True)
-        if new.any():
-            self.fresh.append((distinct[new], split.words(where[new])))
-            self.known = np.union1d(self.known, distinct[new])
+        self.splits.append((split.points, split.starts.astype(np.uint32), split.ends.astype(np.uint32), split.hashes))
         self.bytes += sum(map(len, given))
 
     def records(self, chunk: int, buckets: int) -> list[tuple]:
-        known = self.known
-        bucket = (known % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")  # by bucket, then hash
-        number = np.empty(len(known), np.int64)
-        number[order] = np.arange(len(known))
-        codes = number[np.searchsorted(known, np.concatenate(self.hashes))].astype(np.uint32) if len(known) else np.zeros(0, np.uint32)
-        rows = [(DOCUMENT, chunk, 0, _pack(np.array(self.docs, np.int64), np.array(self.nulls, np.uint8), np.concatenate(self.counts).astype(np.int64), codes))]
-        words = np.empty(len(known), object)
-        for h, w in self.fresh:
-            words[np.searchsorted(known, h)] = w
-        words, bucket = words[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.unique(bucket).tolist():
-            part = [w.encode() for w in words[cuts[b] : cuts[b + 1]]]
-            rows.append((WORDS, chunk, b, _pack(np.array([len(w) for w in part], np.uint16 if max(map(len, part)) < 1 << 16 else np.uint32), np.frombuffer(b"".join(part), np.uint8))))
+        """Within its bucket a pre-token has a rank, frequent ones first (so small numbers are frequent, and compress), those that occur once by their letters."""
+        distinct, where, inverse, count = np.unique(np.concatenate([s[3] for s in self.splits]), return_index=True, return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(s[3]) for s in self.splits])
+        words = np.empty(len(distinct), object)
+        owner = np.searchsorted(ends, where, "right")
+        for k, (points, a, b, _) in enumerate(self.splits):
+            mine = np.flatnonzero(owner == k)
+            at = where[mine] - (ends[k - 1] if k else 0)
+            blob = points.tobytes()
+            words[mine] = [blob[4 * x : 4 * y].decode("utf-32-le").encode() for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+        bucket = (distinct % np.uint64(buckets)).astype(np.int64)
+        once = np.flatnonzero(count == 1)
+        letters = np.zeros(len(distinct), np.int64)
+        letters[once[sorted(range(len(once)), key=words[once].tolist().__getitem__)]] = np.arange(len(once))
+        order = np.lexsort((letters, -count, bucket))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        number = np.empty(len(distinct), np.int64)
+        number[order] = (np.arange(len(order)) - cuts[bucket[order]]) * buckets + bucket[order]
+        nulls = np.array([d is None for d in self.docs], np.uint8)
+        rows = [(DOCUMENT, chunk, 0, _pack(np.array([d or 0 for d in self.docs], np.int64), nulls, np.concatenate(self.counts).astype(np.uint32), number[inverse].astype(np.uint32)))]
+        words = words[order]
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            part = words[cuts[b] : cuts[b + 1]].tolist()
+            rows.append((WORDS, chunk, b, _pack(np.array([len(w) for w in part], np.uint32), np.frombuffer(b"".join(part), np.uint8))))
         return rows
 
 
@@ -146,11 +146,7 @@ def explode(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> Da
 
 
 def _words(payload: bytes) -> list[bytes]:
-    import struct
-
-    data = zstandard.ZstdDecompressor().decompress(payload)
-    width = struct.unpack_from("<q", data, 16)[0]
-    sizes, raw = _unpack(payload, "<u2" if width == 2 else "<u4", "u1")
+    sizes, raw = _unpack(payload, "<u4", "u1")
     blob, ends = raw.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
     return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -176,7 +172,7 @@ def encode_buckets(records: DataFrame, path: str) -> DataFrame:
     return records.groupBy("bucket").applyInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame, make: Callable[[np.ndarray], tuple], schema: str, arrow: pa.Schema) -> DataFrame:
+def assemble(records: DataFrame, buckets: int, make: Callable[[np.ndarray], tuple], schema: str, arrow: pa.Schema) -> DataFrame:
     """For each document a row (doc_id, *make(ids)); records: the documents and the ids of all chunks."""
 
     def run(key: tuple, data: pa.Table) -> pa.Table:
@@ -185,13 +181,20 @@ def assemble(records: DataFrame, make: Callable[[np.ndarray], tuple], schema: st
             if kind == IDS:
                 ids[bucket] = _unpack(payload, "<u4", "<u4")
             else:
-                docs = _unpack(payload, "<i8", "u1", "<i8", "<u4")
-        parts = [ids[b] for b in sorted(ids)]
-        size = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        pool = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
-        start = np.cumsum(size) - size
+                docs = _unpack(payload, "<i8", "u1", "<u4", "<u4")
+        # Of pre-token number r * buckets + b: the ids of rank r in bucket b.
+        most = max((len(p[0]) for p in ids.values()), default=0)
+        size = np.zeros((most, buckets), np.int64)
+        start = np.zeros((most, buckets), np.int64)
+        base = 0
+        for b, (sizes, flat) in ids.items():
+            size[: len(sizes), b] = sizes
+            start[: len(sizes), b] = base + np.cumsum(sizes) - sizes
+            base += len(flat)
+        pool = np.concatenate([p[1] for p in ids.values()]) if ids else np.zeros(0, np.uint32)
+        size, start = size.ravel(), start.ravel()
         doc_ids, nulls, counts, codes = docs
-        rows, ends = [], np.cumsum(counts)
+        rows, ends = [], np.cumsum(counts, dtype=np.int64)
         for doc, null, a, b in zip(doc_ids.tolist(), nulls.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
             own = codes[a:b]
             rows.append((None if null else doc, *make(gather(pool, start[own], size[own])[0])))
@@ -200,14 +203,15 @@ def assemble(records: DataFrame, make: Callable[[np.ndarray], tuple], schema: st
     return records.groupBy("chunk").applyInArrow(run, schema)
 
 
-def _prepared(docs: DataFrame, path: str) -> DataFrame:
-    records = cut(explode(docs, partitions(docs.sparkSession)))
-    return records.where(F.col("kind") == DOCUMENT).union(encode_buckets(records.where(F.col("kind") == WORDS), path))
+def _prepared(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
+    buckets = partitions(docs.sparkSession)
+    records = cut(explode(docs, buckets))
+    return records.where(F.col("kind") == DOCUMENT).union(encode_buckets(records.where(F.col("kind") == WORDS), path)), buckets
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, ids array<int>)."""
-    return assemble(_prepared(docs, path), lambda ids: (ids.astype(np.int32).tolist(),), "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+    return assemble(*_prepared(docs, path), lambda ids: (ids.astype(np.int32).tolist(),), "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -216,4 +220,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def make(ids: np.ndarray) -> tuple:
         return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()
 
-    return assemble(_prepared(docs, path), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+    return assemble(*_prepared(docs, path), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))

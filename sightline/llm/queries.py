@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decision_list, open_window_packing, weak_toxicity, word_bpe
+from . import byte_cnn, cover_tree_dedup, decision_list, edit_counts, license_scan, lsh_forest, open_window_packing, suffix_dedup, weak_toxicity, word_bpe
 from .runtime import table
 
 
@@ -16,6 +16,18 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_cover_tree_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op2_dice_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "n_matches")
+
+
+def op3_lsh_forest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = byte_cnn.fit(docs.where(_fold(3) != 1))
@@ -32,6 +44,11 @@ def op6_open_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_window_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", edit_counts.sample_edits())
+    return edit_counts.recount(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("text")
+
+
 def op8_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -42,10 +59,14 @@ def op9_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.annotate(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_dice_licenses": license_scan.oracle()}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .pretokens import Split, gather
 from .runtime import bites, cut, from_rows, partitions, texts
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 BITE_BYTES = 160_000
 RECORD = "kind int, chunk long, bucket int, payload binary"
 _RECORD = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -72,7 +72,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed payload; numbers are split into byte planes, which compress better."""
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], "<i8").tobytes()
     planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *planes]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *planes]))
 
 
 def _unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
@@ -91,27 +91,41 @@ class _Chunk:
     """Documents of one chunk as numbers of distinct pre-tokens, and these pre-tokens."""
 
     def __init__(self):
-        self.docs, self.counts, self.splits, self.bytes = [], [], [], 0
+        self.docs, self.counts, self.splits, self.hashes, self.bytes = [], [], [], [], 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         given = texts(batch)
         split = Split(given, spaced=True)
         self.docs.extend(batch.column("doc_id").to_pylist())
         self.counts.append(np.diff(split.bounds))
-        self.splits.append((split.points, split.starts.astype(np.uint32), split.ends.astype(np.uint32), split.hashes))
+        wide = len(split.points) and int(split.points.max()) > 0xFFFF
+        self.splits.append((split.points if wide else split.points.astype("<u2"), split.starts.astype(np.uint32), (split.ends - split.starts).astype(np.uint32)))
+        self.hashes.append(split.hashes)
         self.bytes += sum(map(len, given))
 
     def records(self, chunk: int, buckets: int) -> list[tuple]:
         """Within its bucket a pre-token has a rank, frequent ones first (so small numbers are frequent, and compress), those that occur once by their letters."""
-        distinct, where, inverse, count = np.unique(np.concatenate([s[3] for s in self.splits]), return_index=True, return_inverse=True, return_counts=True)
-        ends = np.cumsum([len(s[3]) for s in self.splits])
+        ends = np.cumsum([len(h) for h in self.hashes])
+        hashes = np.concatenate(self.hashes)
+        self.hashes = []
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        new = np.append(True, hashes[1:] != hashes[:-1]) if len(hashes) else np.zeros(0, bool)
+        distinct, where = hashes[new], order[new]
+        del hashes
+        inverse = np.empty(len(order), np.uint32)
+        inverse[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        del order, new
+        count = np.bincount(inverse, minlength=len(distinct))
         words = np.empty(len(distinct), object)
         owner = np.searchsorted(ends, where, "right")
-        for k, (points, a, b, _) in enumerate(self.splits):
+        for k, (points, starts, sizes) in enumerate(self.splits):
             mine = np.flatnonzero(owner == k)
             at = where[mine] - (ends[k - 1] if k else 0)
-            blob = points.tobytes()
-            words[mine] = [blob[4 * x : 4 * y].decode("utf-32-le").encode() for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+            blob, width = points.tobytes(), points.itemsize
+            code = "utf-32-le" if width == 4 else "utf-16-le"
+            words[mine] = [blob[width * x : width * (x + n)].decode(code).encode() for x, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]
+        self.splits = []
         bucket = (distinct % np.uint64(buckets)).astype(np.int64)
         once = np.flatnonzero(count == 1)
         letters = np.zeros(len(distinct), np.int64)

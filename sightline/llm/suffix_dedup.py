@@ -35,7 +35,7 @@ from .runtime import bites, cut, ddl, partitions, with_columns
 
 WIDTH, GRAM = 400, 50
 SHALLOW = 32
-HOT = 192
+HOT = 400
 SLAB = 1 << 21
 _MULT = 0xA0761D6478BD642F
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -281,11 +281,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """docs(k1, k2, text) -> (k1, k2, begin, end): byte ranges that together cover what is repeated."""
     n = partitions(docs.sparkSession)
     found = cut(docs.mapInArrow(_find, _ddl(_ANCHOR)))
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Counts are written before they are joined: a join right above an aggregation couldn't be split where a key is frequent.
+    often = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     again = cut(found.join(often, "h"))
     kinds = cut(again.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "first")).alias("one")))
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("kinds > 1 and single > 0")
-    judged = cut(again.join(kinds, ["h", "run"]).join(mixed.select("h", "kinds"), "h", "left"))
+    mixed = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("kinds > 1 and single > 0").select("h", "kinds"))
+    judged = cut(again.join(kinds, ["h", "run"]).join(mixed, "h", "left"))
     whole = judged.where("n > 1").select("k1", "k2", F.col("first").alias("begin"), (F.col("last") + WIDTH).alias("end"))
     wanted = judged.where("kinds is not null").where(F.struct("k1", "k2", "at", "first") == F.col("one"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "at", "first", "last", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))

@@ -14,7 +14,7 @@ def groups(ids, edges):
             i = parent[i]
         return i
 
-    for a, b in edges:
+    for a, b in (e for e in edges if e[0] != e[1]):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     return {i: root(i) for i in ids}

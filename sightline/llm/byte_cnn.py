@@ -29,6 +29,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
 ROWS_A_LANGUAGE = 700
+STEPS = 250
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -99,7 +100,7 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], *, epochs:
     params = {n: p.astype(np.float32) for n, p in params.items()}
     moments = {n: (np.zeros_like(p), np.zeros_like(p)) for n, p in params.items()}
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // max(1, len(rows))))):  # few rows are gone through more often
         order = rng.permutation(len(rows))
         for s in range(0, len(order), batch):
             x, y = rows[order[s : s + batch]], labels[order[s : s + batch]]

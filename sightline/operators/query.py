@@ -405,6 +405,52 @@ class Query:
             shown = scope.everything()
         return self._finish(scope.df.select(*shown), scope)
 
+    def render(self, placeholder: str = "?") -> tuple[str, list]:
+        """The query as SQL text and the values for its placeholders, for display and other engines; to_df doesn't use it."""
+        values: list = []
+        source = f"({self._bound(self.table, placeholder, values)}) AS s1" if isinstance(self.table, Query) else _ident(self.table.name)
+        keys = [_sql_column(c, False) for c in self.group.cols] if self.group else []
+        bins = {c.output: c for c in (self.proj.cols if self.proj else []) if isinstance(c, BinnedColumn)}
+        if self.proj:
+            shown = [_sql_column(c, True) for c in self.proj.cols]
+        elif self.group:
+            shown = [_sql_column(bins.get(c.output, c), True) for c in self.group.cols]
+        else:
+            shown = [] if self.aggs else ["*"]
+        if self.aggs:
+            shown += [_sql_agg(a) for a in self.aggs.aggs]
+        text = ", ".join(shown)
+        if self.unique and self.count:
+            text = f"COUNT(DISTINCT {text}) AS {_ident('count')}"
+        elif self.count:
+            text = f"COUNT({text}) AS {_ident('count')}"
+        elif self.unique:
+            text = f"DISTINCT {text}"
+        parts = [f"SELECT {text} FROM {source}"]
+        last = "s1" if isinstance(self.table, Query) else self.table.name
+        for j in self.joins:
+            name = j.alias or j.name
+            on = [f"{_ident(j.lhs or last)}.{_ident(j.left_col)} {j.op} {_ident(name)}.{_ident(j.right_col)}"] if j.left_col and j.right_col else []
+            on += [_sql_predicate(p, placeholder, values) for p in j.preds]
+            parts.append(f"{j.how} JOIN {_ident(j.name)}" + (f" AS {_ident(j.alias)}" if j.alias else "") + (f" ON {' AND '.join(on)}" if on else ""))
+            last = name
+        for word, filters in (("WHERE", self.where), ("GROUP BY", None), ("HAVING", self.having)):
+            if filters is None:
+                parts += [f"GROUP BY {', '.join(keys)}"] if keys else []
+            elif filters:
+                parts.append(f"{word} " + " AND ".join(f"({_sql_predicate(f.predicate(), placeholder, values)})" for f in filters if f.preds))
+        if self.order:
+            parts.append("ORDER BY " + ", ".join(f"{_sql_column(c, False)} {way}" for c, way in self.order.cols))
+        if self.limit:
+            parts.append(f"LIMIT {self.limit.num}" + (f" OFFSET {self.offset.num}" if self.offset else ""))
+        return " ".join(parts), values
+
+    @staticmethod
+    def _bound(inner: Query, placeholder: str, values: list) -> str:
+        text, more = inner.render(placeholder)
+        values.extend(more)
+        return text
+
     def _grouped(self, scope: Scope) -> DataFrame:
         aggs = self.aggs.columns(scope) if self.aggs else [F.count(F.lit(1)).alias("count")]
         if not self.group:
@@ -446,6 +492,53 @@ class Query:
         return df
 
 
+def _ident(name: str) -> str:
+    return name if name == "*" else '"' + name.replace('"', '""') + '"'
+
+
+def _sql_column(c: Column | CoalescedColumn, shown: bool) -> str:
+    if isinstance(c, CoalescedColumn):
+        return f"COALESCE({', '.join('.'.join(map(_ident, n.split('.', 1))) for n in c.names)}) AS {_ident(c.alias)}" if shown else _ident(c.alias)
+    plain = (f"{_ident(c.table)}." if c.table else "") + _ident(c.name)
+    if not shown:
+        return _ident(c.alias) if c.alias else plain
+    if isinstance(c, BinnedColumn):
+        if c.unit in scalars.UNITS:
+            width = c.n * scalars.UNITS[c.unit]
+            plain = f"to_timestamp(floor(epoch({plain}) / {width}) * {width})"
+        else:
+            plain = f"trunc({plain} / {c.n}) * {c.n}"
+        return f"{plain} AS {_ident(c.output)}"
+    return f"{plain} AS {_ident(c.alias)}" if c.alias else plain
+
+
+def _sql_agg(agg: tuple[str, str | None, str]) -> str:
+    func, col, alias = agg
+    inner = "*" if col in (None, "*") else _ident(col)
+    return (f"COUNT(DISTINCT {inner})" if func == "NUNIQUE" else f"{func}({inner})") + f" AS {_ident(alias)}"
+
+
+def _sql_predicate(p: Predicate, placeholder: str, values: list) -> str:
+    if isinstance(p.lhs, Predicate):
+        return f"({_sql_predicate(p.lhs, placeholder, values)}) {p.op} ({_sql_predicate(p.rhs, placeholder, values)})"
+    column = p.lhs if isinstance(p.lhs, Column) else Column(p.lhs)
+    if column.name.endswith(ALL_ITEMS) and isinstance(p.rhs, str):
+        values.append(f"%{p.rhs}%")
+        return f"{_ident(column.name.removesuffix(ALL_ITEMS))} {'NOT LIKE' if p.op in ('!=', '<>', 'NOT LIKE') else 'LIKE'} {placeholder}"
+    left = _sql_column(column, False)
+    if _is_null(p.rhs):
+        return f"{left} IS NULL" if p.op in ("=", "IS") else f"{left} IS NOT NULL"
+    if isinstance(p.rhs, Query):
+        return f"{left} {p.op} ({Query._bound(p.rhs, placeholder, values)})"
+    if isinstance(p.rhs, Column):
+        return f"{left} {p.op} {_sql_column(p.rhs, False)}"
+    if isinstance(p.rhs, (list, tuple)):
+        values.extend(p.rhs)
+        return f"{left} {p.op} ({', '.join([placeholder] * len(p.rhs))})"
+    values.append(p.rhs)
+    return f"{left} {p.op} {placeholder}"
+
+
 def _filtered(scope: Scope, f: Filter, relation: Callable[[str], DataFrame]) -> Scope:
     """Conditions with IN (query) that must all hold are semi and anti joins; under OR they are joins with a mark."""
     if not f.preds:

@@ -18,7 +18,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..errors import DatabaseMismatch, IncompatibleType, InvalidAttr, InvalidObject, SessionExists, SessionNotFound, UnknownViewname
 from ..functions.ids import make_id
-from ..knowledge import auto_agg, primary_prop
+from ..knowledge import auto_agg, parse_prop, primary_prop, prop_metadata
 from ..names import check_name, check_path, quoted
 from ..operators.paths import dereference, path_joins, unresolve
 from ..operators.pattern import Compiler
@@ -492,7 +492,7 @@ class Store:
     def sql(self, text: str, **args: object) -> DataFrame:
         """Spark SQL over all tables and views of the session, by their names."""
         for name in [*self.versions, *self.views]:
-            self.relation(name).createOrReplaceTempView(quoted(name) if False else _view_name(name))
+            self.relation(name).createOrReplaceTempView(_view_name(name))
         return self.spark.sql(text, args=args or None)
 
     def _observed(self, view: str, path: str | None) -> tuple[Query, str, str]:
@@ -597,6 +597,19 @@ class Store:
         """The full property paths of a type's columns, whose names may be shorter."""
         return dict(self.paths.get(name, {}))
 
+    def column_metadata(self, name: str) -> list[dict[str, str]]:
+        """Name, full path, dtype and ftype of a view's columns, and of those that its references lead to."""
+        kind = self.table_type(check_name(name)) or name
+        df = dereference(self.relation(name), kind, self.stored)
+        out = []
+        for c in df.columns:
+            links = parse_prop(kind, c)
+            holder = links[-1][1] if links and links[-1][0] == "node" else kind
+            last = links[-1][2] if links and links[-1][0] == "node" else c
+            path = self.paths.get(holder, {}).get(last, last)
+            out.append({"name": c, "path": f"{c[: len(c) - len(last)]}{path}", "table": holder} | prop_metadata(holder, path))
+        return out
+
     def set_appdata(self, view: str, data: object) -> None:
         if view not in self.views:
             raise UnknownViewname(view)

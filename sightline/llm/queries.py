@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, cover_tree_dedup, decision_list, edit_counts, license_scan, lsh_forest, open_window_packing, suffix_dedup, weak_toxicity, word_bpe
+from . import byte_cnn, cover_tree_dedup, decision_list, edit_counts, license_scan, lsh_forest, open_window_packing, oracles, suffix_dedup, weak_toxicity, word_bpe
 from .runtime import table
 
 
@@ -75,4 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_dice_licenses": license_scan.oracle()}
+    return {
+        "op1_cover_tree_embeddings": oracles.OP1,
+        "op2_dice_licenses": license_scan.oracle(),
+        "op3_lsh_forest_documents": oracles.OP3,
+        "op10_suffix_array_dedup": oracles.OP10,
+    }

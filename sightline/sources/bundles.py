@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import re
+import urllib.request
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -186,27 +189,63 @@ def as_row(obj: dict, seq: int) -> tuple:
     return kind, body.get("id"), json.dumps(body, ensure_ascii=False), list(kinds.items()), seq
 
 
-def read_objects(spark: SparkSession, sources: object, types: Iterable[str] | None = None) -> DataFrame:
-    """(object, seq): JSON text of each object of the bundles, in their order; sources: paths, dicts or a list of either.
+def whole_objects(text: str) -> Iterator[str]:
+    """The objects of a bundle's text, as far as it goes: a text that breaks off gives those that came whole."""
+    start = re.search(r'"objects"\s*:\s*\[', text)
+    decoder, at = json.JSONDecoder(), start.end() if start else len(text)
+    while at < len(text):
+        at = re.compile(r"[\s,]*").match(text, at).end()
+        try:
+            _, end = decoder.raw_decode(text, at)
+        except json.JSONDecodeError:
+            return
+        yield text[at:end]
+        at = end
 
-    A file holds one bundle, or, named .jsonl, an object in each line. Files that are no bundle give nothing."""
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for base, text in zip(batch.column("base").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            found = list(whole_objects(text))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(range(base, base + len(found)), pa.int64())], names=["object", "seq"])
+
+
+def download(url: str, chunk: int = 8192) -> str:
+    """A bundle's text over HTTP, in chunks; a transfer that breaks off gives what came."""
+    parts: list[bytes] = []
+    with urllib.request.urlopen(url) as response:
+        try:
+            while part := response.read(chunk):
+                parts.append(part)
+        except (OSError, http.client.IncompleteRead) as e:
+            parts.append(getattr(e, "partial", b""))
+    return b"".join(parts).decode(errors="ignore")
+
+
+def read_objects(spark: SparkSession, sources: object, types: Iterable[str] | None = None, partial: bool = False) -> DataFrame:
+    """(object, seq): JSON text of each object of the bundles, in their order; sources: paths, http(s) addresses, dicts or a list of them.
+
+    A file holds one bundle, or, named .jsonl, an object in each line. Files that are no bundle give nothing. partial: texts may break off (downloads always may)."""
     listed = sources if isinstance(sources, (list, tuple)) else [sources]
-    frames = []
+    frames, broken = [], []
     for n, source in enumerate(listed):
         base = n << 40
         if isinstance(source, dict):
             frames.append(spark.createDataFrame([(json.dumps(source),)], "value string").select("value", F.lit(base).cast("long").alias("base")))
+        elif str(source).startswith(("http://", "https://")):
+            text = spark.createDataFrame([(download(str(source)), base)], "value string, base long")
+            broken.append(text)
         elif str(source).endswith(".jsonl"):
             lines = spark.read.text(str(source))
             frames.append(lines.select(F.concat(F.lit('{"objects":['), "value", F.lit("]}")).alias("value"), (F.lit(base) + F.monotonically_increasing_id()).alias("base")))
         else:
-            frames.append(spark.read.text(str(source), wholetext=True).select("value", F.lit(base).cast("long").alias("base")))
-    if not frames:
-        return spark.createDataFrame([], "object string, seq long")
-    texts = frames[0]
-    for f in frames[1:]:
-        texts = texts.union(f)
-    out = texts.select("base", F.posexplode(F.from_json("value", "struct<objects:array<string>>")["objects"]).alias("pos", "object")).select("object", (F.col("base") + F.col("pos")).alias("seq"))
+            (broken if partial else frames).append(spark.read.text(str(source), wholetext=True).select("value", F.lit(base).cast("long").alias("base")))
+    out = spark.createDataFrame([], "object string, seq long")
+    if broken:
+        out = reduce(DataFrame.union, broken).mapInArrow(_partial, "object string, seq long")
+    if frames:
+        whole = reduce(DataFrame.union, frames).select("base", F.posexplode(F.from_json("value", "struct<objects:array<string>>")["objects"]).alias("pos", "object")).select("object", (F.col("base") + F.col("pos")).alias("seq"))
+        out = out.union(whole) if broken else whole
     return out.where(F.get_json_object("object", "$.type").isin(*types)) if types else out
 
 

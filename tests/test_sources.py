@@ -1,6 +1,8 @@
 import asyncio
 import base64
+import http.server
 import json
+import threading
 import zipfile
 
 import pytest
@@ -197,3 +199,27 @@ def test_cli(spark, tmp_path, capsys):
     assert out["type"] == "bundle" and len(out["objects"]) == 16
     assert len(json.loads(run("limit", "1", str(tmp_path / "b.json")))["objects"]) == 2
     assert identity()["id"] == "identity--1"
+
+
+def test_broken_and_remote_bundles(spark, tmp_path):
+    text = json.dumps(connections(4))
+    cut = text[: text.rindex('"type": "observed-data"') - 1]
+    (tmp_path / "cut.json").write_text(cut)
+    assert bundles.read_objects(spark, str(tmp_path / "cut.json")).count() == 0
+    assert len(objects_of(bundles.read_objects(spark, str(tmp_path / "cut.json"), partial=True))) == 4
+    assert list(bundles.whole_objects("no bundle")) == [] and [json.loads(o) for o in bundles.whole_objects('{"objects" : [ {"a": 1} , {"b": [2]}]}')] == [{"a": 1}, {"b": [2]}]
+    assert len(objects_of(bundles.read_objects(spark, connections(4), types=["identity"]))) == 1
+    (tmp_path / "b.json").write_text(text)
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def __init__(self, *args):
+            super().__init__(*args, directory=str(tmp_path))
+
+        def log_message(self, *args):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        got = objects_of(bundles.read_objects(spark, [f"http://127.0.0.1:{server.server_port}/b.json", connections(1)]))
+        server.shutdown()
+    assert len(got) == 7

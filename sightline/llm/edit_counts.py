@@ -14,12 +14,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import Split, WordIds
+from .pretokens import pieces as long_pieces
 from .runtime import bites, ddl, texts, with_columns
 from .word_bpe import encoding
 
@@ -178,11 +180,13 @@ def recount(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
         table, pieces, count = _tools(path)
         for batch in bites(batches, "text", 200_000):
             given = texts(batch)
-            cut = Split(given, spaced=True)
-            _, size = table.spans(cut)
-            long, size = (cut.ends - cut.starts).tolist(), size.tolist()
+            parts = long_pieces(given[0]) if len(given) == 1 else []
+            cuts = [Split([p], spaced=True) for p in parts] if len(parts) > 1 else [Split(given, spaced=True)]
+            size = np.concatenate([table.spans(c)[1] for c in cuts]).tolist()
+            long = np.concatenate([c.ends - c.starts for c in cuts]).tolist()
+            bounds = [0, len(size)] if len(parts) > 1 else cuts[0].bounds.tolist()
             rows = []
-            for text, a, b, changes in zip(given, cut.bounds[:-1].tolist(), cut.bounds[1:].tolist(), batch.column(edits).to_pylist(), strict=True):
+            for text, a, b, changes in zip(given, bounds[:-1], bounds[1:], batch.column(edits).to_pylist(), strict=True):
                 doc = Counted(text, build(long[a:b], size[a:b]), pieces, count)
                 before, number = doc.tree.tokens, doc.tree.number
                 for x in changes or []:

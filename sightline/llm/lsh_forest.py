@@ -21,6 +21,7 @@ equals, and is its own (null) without them. An empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +38,40 @@ BLOCK_ROWS, BLOCK_SHINGLES, PIVOTS = 64, 40_000, 64
 #: Rows of (cluster, block, id) that may be broadcast: under 10 MB.
 BROADCAST_ROWS = 200_000
 _SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are taken at a time.
+SLAB = 1 << 21
 _M = np.uint64(0xD1B54A32D192ED03)
 
 
-def shingle_sets(given: list[str], words: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles of so many words; A-Z is lower-cased, words are [^\\x20\\x09-\\x0D]+."""
-    parts = [t.encode().lower() for t in given]
+def _word_hashes(parts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words of texts, and where each text's begin."""
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
-    blank = _SPACES[data]
-    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    edge = np.flatnonzero(np.diff(_SPACES[data], prepend=True))
     starts, ends = edge[0::2], edge[1::2]
-    w = span_hashes(data, starts, ends)
-    bounds = np.searchsorted(starts, offsets).tolist()
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets).tolist()
+
+
+def _slabs(text: bytes) -> list[bytes]:
+    """A long text in pieces that end where a word does."""
+    out, at = [], 0
+    while at < len(text):
+        m = _BLANK.search(text, at + SLAB)
+        end = m.end() if m else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def shingle_sets(given: list[str], words: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles of so many words; A-Z is lower-cased, words are [^\\x20\\x09-\\x0D]+."""
+    parts = [t.encode().lower() for t in given]
+    if len(parts) == 1 and len(parts[0]) > 2 * SLAB:
+        w = np.concatenate([_word_hashes([s])[0] for s in _slabs(parts[0])])
+        bounds = [0, len(w)]
+    else:
+        w, bounds = _word_hashes(parts)
     rolled = np.zeros(0, np.uint64)
     if len(w) >= words:
         rolled = w[: len(w) - words + 1].copy()

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Split, WordIds, gather
+from .pretokens import Split, WordIds, gather, pieces
 from .runtime import bites, cut, from_rows, texts
 
 LENGTH = 2048
@@ -72,7 +72,10 @@ def lowered(text: str) -> str:
 
 def document_ids(given: list[str], table: WordIds) -> list[np.ndarray]:
     """Ids of each text and the end mark."""
-    split = Split([lowered(t) for t in given], spaced=False)
+    texts_ = [lowered(t) for t in given]
+    if len(texts_) == 1 and len(parts := pieces(texts_[0])) > 1:
+        return [np.concatenate([*(table.ids(Split([p], spaced=False))[0] for p in parts), np.array([END_ID], np.uint32)])]
+    split = Split(texts_, spaced=False)
     start, size = table.spans(split)
     # The end marks go in as one more pre-token of each text.
     flat, ends = gather(table.pool, start, size)

@@ -28,6 +28,23 @@ def classes() -> np.ndarray:
     return out
 
 
+#: Characters of a text that are split at a time.
+PIECE = 1 << 20
+_SAFE = regex.compile(r"\p{L} \p{L}")
+
+
+def pieces(text: str) -> list[str]:
+    """A long text in pieces of about PIECE characters that split as the whole does: each ends with a letter before a single space and a letter."""
+    out, at = [], 0
+    while len(text) - at > 2 * PIECE:
+        m = _SAFE.search(text, at + PIECE)
+        if not m:
+            break
+        out.append(text[at : m.start() + 1])
+        at = m.start() + 1
+    return [*out, text[at:]]
+
+
 _powers: dict[int, np.ndarray] = {}
 
 

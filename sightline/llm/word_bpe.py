@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Split, gather
+from .pretokens import Split, gather, pieces
 from .runtime import bites, cut, from_rows, partitions, texts
 
 CHUNK_BYTES = 32 << 20
@@ -95,12 +95,14 @@ class _Chunk:
 
     def add(self, batch: pa.RecordBatch) -> None:
         given = texts(batch)
-        split = Split(given, spaced=True)
+        parts = pieces(given[0]) if len(given) == 1 else []
+        made = [Split([p], spaced=True) for p in parts] if len(parts) > 1 else [Split(given, spaced=True)]
         self.docs.extend(batch.column("doc_id").to_pylist())
-        self.counts.append(np.diff(split.bounds))
-        wide = len(split.points) and int(split.points.max()) > 0xFFFF
-        self.splits.append((split.points if wide else split.points.astype("<u2"), split.starts.astype(np.uint32), (split.ends - split.starts).astype(np.uint32)))
-        self.hashes.append(split.hashes)
+        self.counts.append(np.array([sum(len(s.hashes) for s in made)]) if len(parts) > 1 else np.diff(made[0].bounds))
+        for split in made:
+            wide = len(split.points) and int(split.points.max()) > 0xFFFF
+            self.splits.append((split.points if wide else split.points.astype("<u2"), split.starts.astype(np.uint32), (split.ends - split.starts).astype(np.uint32)))
+            self.hashes.append(split.hashes)
         self.bytes += sum(map(len, given))
 
     def records(self, chunk: int, buckets: int) -> list[tuple]:

@@ -49,6 +49,14 @@ def test_lsh_forest(docs, rows, words, monkeypatch):
     assert sorted((r["doc_id"] or -1, r["n_shingles"]) for r in got) == sorted((i or -1, len(s)) for i, s in known)
 
 
+def test_long_texts_in_slabs(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = " ".join(f"W{k}\t" for k in rng.integers(0, 50, 900))
+    want = lsh_forest.shingle_sets([text, "x"], 4)[0]
+    monkeypatch.setattr(lsh_forest, "SLAB", 100)
+    assert (lsh_forest.shingle_sets([text], 4)[0] == want).all() and len(want) == len(shingles(text, 4))
+
+
 def test_lsh_forest_empty(empty):
     assert lsh_forest.near_duplicates(empty).count() == 0
 

@@ -9,12 +9,11 @@ import base64
 import json
 import pickle
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..errors import DatabaseMismatch, IncompatibleType, InvalidAttr, InvalidObject, SessionExists, SessionNotFound, UnknownViewname
 from ..functions.ids import make_id
@@ -22,12 +21,12 @@ from ..knowledge import auto_agg, parse_prop, primary_prop, prop_metadata
 from ..names import check_name, check_path, quoted
 from ..operators.paths import dereference, path_joins, unresolve
 from ..operators.pattern import Compiler
-from ..operators.query import Aggregation, BinnedColumn, Column, Filter, Group, Join, Limit, Offset, Order, Predicate, Projection, Query, Table
+from ..operators.query import Aggregation, BinnedColumn, Column, Filter, Group, Join, Limit, Order, Predicate, Projection, Query, Table
 from ..sources import bundles
+from . import upsert
 
 VERSION = "2.2"
 PRIVATE = ("__contains", "__reflist", "__queries")
-MERGED = {"first_observed": F.min, "last_observed": F.max, "number_observed": F.sum}
 
 
 @dataclass
@@ -252,10 +251,7 @@ class Store:
             if overwrite:
                 old = old.join(new.select("id").distinct(), "id", "left_anti")
             new = old.withColumn("seq", F.lit(-1).cast("long")).unionByName(new, allowMissingColumns=True)
-        columns = [c for c in new.columns if c not in ("id", "seq")]
-        last = lambda c: F.max_by(F.col(quoted(c)), F.when(F.col(quoted(c)).isNotNull(), F.col("seq")))
-        aggs = [(MERGED[c](F.col(quoted(c))) if c in MERGED and not overwrite else last(c)).alias(c) for c in columns]
-        return new.groupBy("id").agg(*aggs) if aggs else new.select("id").distinct()
+        return upsert.merged(new, "id", "seq", combine=not overwrite)
 
     def reassign(self, view: str, objects: list[dict]) -> None:
         """Objects with ids replace those in the type tables (what they refer to included); others become what the view holds."""

@@ -11,9 +11,9 @@ from ..names import quoted
 COMBINED = {"first_observed": F.min, "last_observed": F.max, "number_observed": F.sum}
 
 
-def merged(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key: one shuffle, aggregated before it."""
+def merged(rows: DataFrame, key: str, order: str, combine: bool = True) -> DataFrame:
+    """One row for each key: one shuffle, aggregated before it. combine: False if the last value counts in all columns."""
     columns = [c for c in rows.columns if c not in (key, order)]
     last = lambda c: F.max_by(F.col(quoted(c)), F.when(F.col(quoted(c)).isNotNull(), F.col(quoted(order))))
-    aggs = [(COMBINED[c](F.col(quoted(c))) if c in COMBINED else last(c)).alias(c) for c in columns]
+    aggs = [(COMBINED[c](F.col(quoted(c))) if combine and c in COMBINED else last(c)).alias(c) for c in columns]
     return rows.groupBy(key).agg(*aggs) if aggs else rows.select(key).distinct()

@@ -35,7 +35,8 @@ from .runtime import bites, cut, ddl, partitions, with_columns
 
 WIDTH, GRAM = 400, 50
 SHALLOW = 32
-HOT = 400
+#: Runs of one anchor that one task may get: under 10 MB.
+HOT = 8192
 SLAB = 1 << 21
 _MULT = 0xA0761D6478BD642F
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -293,7 +294,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     runs = cut(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_fetch, _ddl(_RUN)))
     cold = runs.where("not hot").repartition(n, "h").mapInArrow(_sort, _ddl(_RANGE))
     hot = runs.where("hot").select("h", "k1", "k2", "first", "before", "w")
-    twice = hot.groupBy("h", "before", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = cut(hot.groupBy("h", "before", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     hot = hot.join(twice, ["h", "before", "w"]).select("k1", "k2", F.col("first").alias("begin"), (F.col("first") + WIDTH).alias("end"))
     return whole.union(cold).union(hot)
 

@@ -3,8 +3,8 @@
 Vectors are compared within their label (and dimension) only, as unit vectors, whose chord distance d has cosine 1 - d*d/2. Equal vectors collapse to one with a weight.
 
 1. Top of the tree: at most PIVOTS vectors, those of the smallest hashes, are the nodes of the upper level over all labels; each vector belongs to the
-   nearest pivot of its label. A dense region gets pivots in proportion to its rows, so cells stay even; a cell with more than
-   BLOCK_ROWS vectors is dealt into blocks, each under the same pivot with its own covering radius.
+   nearest pivot of its label. A dense region gets pivots in proportion to its rows, so cells stay even. Cells with more than SPLIT_ROWS vectors
+   get pivots of their own, beside the one they have, level by level; a cell with more than BLOCK_ROWS vectors is dealt into blocks under the same pivot.
 2. Each block becomes a cover tree: nested levels of centres with halving radii, every node with its true covering radius.
 3. Pairs of blocks whose balls are too far apart for the threshold are dropped; the others are traversed together: a pair of nodes is
    pruned if its balls can't hold a linked pair, counted as a whole if they can't hold an unlinked one, and else replaced by the pairs of
@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected_components
-from .runtime import cut, from_rows
+from .runtime import cut, ddl, from_rows
 
+#: Pivots that one level of the tree's top gets, its levels, and rows of a cell from which it is split again.
 PIVOTS = 512
+LEVELS = 4
+SPLIT_ROWS = 65_536
 BLOCK_ROWS = 1024
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
 SLACK = 1e-9
@@ -166,31 +169,50 @@ def threshold_links(vectors: DataFrame, cosine: float) -> DataFrame:
     """vectors(uid, label string, v array<double or float>, w), distinct and usable -> (a, b, links): rows (a, null, n) add n to the links of a; rows (a, b, null) are spanning links."""
     spark = vectors.sparkSession
     total = vectors.count()
-    wanted = min(PIVOTS, -(-total // BLOCK_ROWS))
-    chosen = vectors.select("label", "v").orderBy(F.xxhash64("label", "v"), "label", "v").limit(max(1, wanted)).collect()
-    pivots: dict[tuple[str, int], list[int]] = {}
-    for k, r in enumerate(chosen):
-        pivots.setdefault((r["label"], len(r["v"])), []).append(k)
-    heads = {key: unit(np.array([chosen[k]["v"] for k in ks])) for key, ks in pivots.items()}
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells, far = [], []
-            rows = list(zip(batch.column("label").to_pylist(), batch.column("v").to_pylist(), strict=True))
-            by: dict[tuple, list[int]] = {}
-            for k, (label, v) in enumerate(rows):
-                by.setdefault((label, len(v)), []).append(k)
-            cells, far = np.full(len(rows), -1, np.int32), np.full(len(rows), 2.0)
-            for key, ks in by.items():
-                if key in heads:
-                    d = distances(unit(np.array([rows[k][1] for k in ks], np.float64)), heads[key])
-                    near = d.argmin(axis=1)
-                    cells[ks], far[ks] = np.array(pivots[key], np.int32)[near], d[np.arange(len(ks)), near]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
-
-    kind = dict(vectors.dtypes)["v"]
-    placed = cut(vectors.select("uid", "label", F.size("v").alias("dim"), "v", "w").mapInArrow(route, f"uid long, label string, dim int, v {kind}, w long, cell int, far double"))
+    pivots: list[tuple[str, int, np.ndarray]] = []  # label, dimension, unit vector; the number is the cell's
+
+    def draw(rows: DataFrame, most: int, level: int) -> dict[tuple, list[int]]:
+        """New pivots by (label, dimension, cell they lie in): the rows of the smallest hashes."""
+        found: dict[tuple, list[int]] = {}
+        for r in rows.select("label", "v", "cell").orderBy(F.xxhash64("label", "v", F.lit(level)), "label", "v").limit(most).collect():
+            found.setdefault((r["label"], len(r["v"]), r["cell"]), []).append(len(pivots))
+            pivots.append((r["label"], len(r["v"]), unit(np.array([r["v"]]))[0]))
+        return found
+
+    def routed(rows: DataFrame, choices: dict[tuple, list[int]]) -> DataFrame:
+        """Each row in the cell of the nearest of the pivots that its present cell offers, with the distance."""
+        heads = {key: (np.array(ks, np.int32), np.array([pivots[k][2] for k in ks])) for key, ks in choices.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = batch.column("v").to_pylist()
+                cells, far = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("cell", "far"))
+                by: dict[tuple, list[int]] = {}
+                for k, key in enumerate(zip(batch.column("label").to_pylist(), map(len, v), cells.tolist(), strict=True)):
+                    by.setdefault(key, []).append(k)
+                for key, ks in by.items():
+                    if key in heads:
+                        numbers, centres = heads[key]
+                        d = distances(unit(np.array([v[k] for k in ks], np.float64)), centres)
+                        near = d.argmin(axis=1)
+                        cells[ks], far[ks] = numbers[near], d[np.arange(len(ks)), near]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cells, pa.int32()), pa.array(far, pa.float64())], names=batch.schema.names)
+
+        return rows.mapInArrow(run, ddl(rows))
+
+    start = vectors.select("uid", "label", F.size("v").alias("dim"), "v", "w", F.lit(-1).cast("int").alias("cell"), F.lit(2.0).alias("far"))
+    placed = cut(routed(start, draw(start, max(1, min(PIVOTS, -(-total // BLOCK_ROWS))), 0)))
     cell = ["label", "dim", "cell"]
+    for level in range(1, LEVELS):
+        cells = cut(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"), F.max("far").alias("far")))
+        large = {(r["label"], r["dim"], r["cell"]) for r in cells.where((F.col("cell") >= 0) & (F.col("rows") > SPLIT_ROWS)).select(*cell).limit(PIVOTS * LEVELS).collect()}
+        if not large:
+            break
+        inside = F.col("cell").isin([c for _, _, c in large])
+        more = draw(placed.where(inside), PIVOTS, level)
+        if not more:
+            break
+        placed = cut(placed.where(~inside).union(routed(placed.where(inside), {key: [key[2], *ks] for key, ks in more.items()})))
     cells = cut(placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"), F.max("far").alias("far")))
 
     def build(key: tuple, data: pa.Table) -> pa.Table:
@@ -200,14 +222,18 @@ def threshold_links(vectors: DataFrame, cosine: float) -> DataFrame:
 
     blocks = placed.join(cells.select(*cell, "blocks"), cell).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
     blocks = cut(blocks.groupBy(*cell, "block").applyInArrow(build, _BLOCK_SQL))
-    # Cells under pivots: at most PIVOTS of them, whose balls the driver compares. Other cells stand alone.
+    # Cells under pivots: a bounded number of them, whose balls the driver compares. Other cells stand alone.
     limit = math.sqrt(2 - 2 * cosine)
     near = []
-    balls = {r["cell"]: r for r in cells.where("cell >= 0").limit(PIVOTS).collect()}
-    for key, ks in pivots.items():
-        ks = [k for k in ks if k in balls]
-        d = distances(unit(np.array([chosen[k]["v"] for k in ks])), unit(np.array([chosen[k]["v"] for k in ks]))) if ks else np.zeros((0, 0))
-        near += [(*key, p, q) for x, p in enumerate(ks) for y, q in enumerate(ks) if x <= y and (x == y or d[x, y] <= balls[p]["far"] + balls[q]["far"] + limit + SLACK)]
+    balls = {r["cell"]: r["far"] for r in cells.where("cell >= 0").limit(PIVOTS * LEVELS).collect()}
+    groups: dict[tuple[str, int], list[int]] = {}
+    for k in sorted(balls):
+        groups.setdefault(pivots[k][:2], []).append(k)
+    for key, ks in groups.items():
+        centres, radius = np.array([pivots[k][2] for k in ks]), np.array([balls[k] for k in ks])
+        touch = distances(centres, centres) <= radius[:, None] + radius[None, :] + limit + SLACK
+        np.fill_diagonal(touch, True)
+        near += [(*key, ks[x], ks[y]) for x, y in zip(*(a.tolist() for a in np.nonzero(np.triu(touch))), strict=True)]
     close = spark.createDataFrame(near, "label string, dim int, cell int, cell2 int") if near else None
     alone = cells.where("cell < 0").select(*cell, F.col("cell").alias("cell2"))
     close = alone if close is None else close.union(alone)

@@ -130,8 +130,12 @@ def test_cover_tree_traversal():
         assert (a == linked @ wy).all() and (b == linked.T @ wx).all()
 
 
-def test_cover_tree(spark, monkeypatch):
+@pytest.mark.parametrize("split", [65_536, 20])
+def test_cover_tree(spark, monkeypatch, split):
     monkeypatch.setattr(cover_tree_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(cover_tree_dedup, "SPLIT_ROWS", split)
+    if split == 20:
+        monkeypatch.setattr(cover_tree_dedup, "PIVOTS", 5)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 8))
     rows = [(k, (base[k % 12] + rng.normal(size=8) * 0.03).astype(np.float32).tolist(), k % 3 if k % 3 else 1) for k in range(160)]

@@ -1,7 +1,8 @@
 """A session: type tables, edge tables, and named views that are plans over them.
 
-Tables are parquet in the session's folder (a new version for each change, so that plans made before keep reading what they were made of). Views
-are definitions that look names up when they are used: redefining one changes those that build on it."""
+A table is a base of parquet and a few increments over it, in the session's folder: a merge writes only the rows that it changes, and an increment's rows replace
+those of their ids in what lies below. After DELTAS increments the table is written anew. Nothing is changed in place, so plans made before keep
+reading what they were made of. Views are definitions that look names up when they are used: redefining one changes those that build on it."""
 
 from __future__ import annotations
 
@@ -27,6 +28,8 @@ from . import upsert
 
 VERSION = "2.2"
 PRIVATE = ("__contains", "__reflist", "__queries")
+EDGE = ("ref_name", "source_ref", "target_ref", "sco_id", "query_id")
+DELTAS = 6
 
 
 @dataclass
@@ -117,7 +120,7 @@ class Store:
         self.spark, self.session_id, self.ignore_case, self.sum_on_recache = spark, check_name(session_id), ignore_case, sum_on_recache
         root = path or spark.conf.get("spark.sql.warehouse.dir")
         self.folder = f"{str(root).rstrip('/')}/{session_id}"
-        self.versions: dict[str, str] = {}
+        self.versions: dict[str, list[str]] = {}
         self.views: dict[str, View] = {}
         self.paths: dict[str, dict[str, str]] = {}
         found = self._load()
@@ -160,15 +163,31 @@ class Store:
             fs.delete(path, False)
         fs.rename(new, path)
 
-    def _put(self, name: str, df: DataFrame, save: bool = True) -> None:
+    def _write(self, name: str, df: DataFrame) -> str:
         where = f"{self.folder}/tables/{name}/{uuid.uuid4().hex}"
         df.write.parquet(where)
-        self.versions[name] = where
+        return where
+
+    def _put(self, name: str, df: DataFrame, save: bool = True) -> None:
+        """The whole table anew."""
+        self.versions[name] = [self._write(name, df)]
         if save:
             self._save()
 
+    def _add(self, name: str, df: DataFrame) -> None:
+        """An increment; when they get many, the table is written anew."""
+        self.versions[name] = [*self.versions.get(name, []), self._write(name, df)]
+        if len(self.versions[name]) > DELTAS:
+            self._put(name, self.stored(name), save=False)
+
     def stored(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.versions[name]) if name in self.versions else None
+        if name not in self.versions:
+            return None
+        base, *increments = [self.spark.read.parquet(p) for p in self.versions[name]]
+        for newer in increments:
+            kept = base if name in PRIVATE else base.join(newer.select("id"), "id", "left_anti")
+            base = kept.unionByName(newer, allowMissingColumns=True)
+        return base
 
     def type_table(self, name: str) -> DataFrame | None:
         return self.stored(name)
@@ -224,34 +243,36 @@ class Store:
                 known = self.paths.setdefault(sco_type, {})
                 known.update({n: p for n, (_, p) in columns.items() if n not in known})
                 new = bundles.typed(rows, sco_type, columns)
-                self._put(sco_type, self._merged(sco_type, new, overwrite), save=False)
+                self._absorb(sco_type, new, overwrite)
                 if sco_type not in PRIVATE and query_id is not None:
                     mine = new.select(F.col("id").alias("sco_id"), F.lit(str(query_id)).alias("query_id"))
                     tags = mine if tags is None else tags.union(mine)
             if tags is not None:
-                old = self.stored("__queries")
-                self._put("__queries", (tags if old is None else old.union(tags)).distinct(), save=False)
+                self._absorb("__queries", tags)
             self._save()
         finally:
             fs.delete(path, True)
 
-    def _merged(self, name: str, new: DataFrame, overwrite: bool) -> DataFrame:
-        """Old and new rows, one for each id: first and last times and counts combine, of other columns the last value that isn't null counts."""
+    def _absorb(self, name: str, new: DataFrame, overwrite: bool = False) -> None:
+        """Merges rows into a table. Edges are added once. Of objects, one row for each id: first and last times and counts combine, of other columns the
+        last value that isn't null counts; overwrite: the new row as it is. Only rows of the new ids are read together and written."""
         old = self.stored(name)
         if name in PRIVATE:
-            key = [c for c in ("ref_name", "source_ref", "target_ref") if c in new.columns]
-            both = new.drop("seq") if old is None else old.unionByName(new.drop("seq"), allowMissingColumns=True)
-            rest = [c for c in both.columns if c not in key]
-            return both.groupBy(*key).agg(*[F.max(quoted(c)).alias(c) for c in rest]) if rest else both.distinct()
-        types = {} if old is None else dict(old.dtypes)
+            new = new.drop("seq")
+            key = [c for c in EDGE if c in new.columns]
+            rest = [c for c in new.columns if c not in key]
+            new = new.groupBy(*key).agg(*[F.max(quoted(c)).alias(c) for c in rest]) if rest else new.distinct()
+            return self._put(name, new, save=False) if old is None else self._add(name, new.join(old.select(*key), key, "left_anti"))
+        if old is None:
+            return self._put(name, upsert.merged(new, "id", "seq", combine=not overwrite), save=False)
+        types = dict(old.dtypes)
         new = new.select(*[F.col(quoted(c)).try_cast(types[c]).alias(c) if c in types and c != "seq" else F.col(quoted(c)) for c in new.columns])
-        if old is not None:
-            if name == "observed-data" and not self.sum_on_recache and not overwrite:
-                new = new.join(old.select("id"), "id", "left_anti")
-            if overwrite:
-                old = old.join(new.select("id").distinct(), "id", "left_anti")
-            new = old.withColumn("seq", F.lit(-1).cast("long")).unionByName(new, allowMissingColumns=True)
-        return upsert.merged(new, "id", "seq", combine=not overwrite)
+        if name == "observed-data" and not self.sum_on_recache and not overwrite:
+            new = new.join(old.select("id"), "id", "left_anti")
+        elif not overwrite:
+            touched = old.join(new.select("id"), "id", "left_semi")
+            new = touched.withColumn("seq", F.lit(-1).cast("long")).unionByName(new, allowMissingColumns=True)
+        return self._add(name, upsert.merged(new, "id", "seq", combine=not overwrite))
 
     def reassign(self, view: str, objects: list[dict]) -> None:
         """Objects with ids replace those in the type tables (what they refer to included); others become what the view holds."""
@@ -281,7 +302,7 @@ class Store:
             part = part.withColumn("seq", F.lit(0).cast("long")).where("id is not null")
             kinds = [kind] if kind else [r[0] for r in part.select(F.regexp_extract("id", "^(.*)--", 1)).distinct().collect()]
             for k in kinds:
-                self._put(k, self._merged(k, part if kind else part.where(F.col("id").startswith(f"{k}--")), True), save=False)
+                self._absorb(k, part if kind else part.where(F.col("id").startswith(f"{k}--")), overwrite=True)
         self._save()
 
     # Views

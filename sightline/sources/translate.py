@@ -284,14 +284,11 @@ def ingest(store, identity: dict, wide: DataFrame, query_id: str) -> None:
                 if c.endswith("_refs"):
                     lists.append(rows.select(F.lit(c[len(prefix) :]).alias("ref_name"), F.col(quoted(f"{prefix}id")).alias("source_ref"), F.explode(F.col(quoted(c))).alias("target_ref")))
         for kind, table in by_type.items():
-            store._put(kind, store._merged(kind, table, False), save=False)
-            tags = table.select(F.col("id").alias("sco_id"), F.lit(str(query_id)).alias("query_id"))
-            old = store.stored("__queries")
-            store._put("__queries", (tags if old is None else old.union(tags)).distinct(), save=False)
+            store._absorb(kind, table)
+            store._absorb("__queries", table.select(F.col("id").alias("sco_id"), F.lit(str(query_id)).alias("query_id")))
         for name, parts in (("__contains", edges), ("__reflist", lists)):
             if parts:
-                whole = reduce(lambda a, b: a.unionByName(b), parts).distinct().withColumn("seq", F.lit(0))
-                store._put(name, store._merged(name, whole, False), save=False)
+                store._absorb(name, reduce(lambda a, b: a.unionByName(b), parts))
         store._save()
     finally:
         fs.delete(path, True)

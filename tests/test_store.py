@@ -169,3 +169,21 @@ def test_rank(spark, tmp_path):
     ranked = {r["target_ref"] for r in s.run_query(Query("__contains")) if r["x_rank"] == 1}
     values = {r["id"]: r["value"] for r in s.lookup("ipv4-addr")}
     assert [values[i] for i in ranked if i in values] == ["192.168.0.1"] and len(ranked) == 3
+
+
+def test_increments(spark, tmp_path, monkeypatch):
+    """Merges write only what changes, read back as one table, and are compacted."""
+    from sightline.plans import store as module
+
+    s = Store(spark, str(tmp_path), "i")
+    for n in range(4):
+        s.cache(f"q{n}", [bundle([observation(n, traffic(f"192.168.0.{n % 2}", "10.0.0.1", 80 + n, bytes_=n))])])
+    assert len(s.versions["ipv4-addr"]) == 4 and s.count("ipv4-addr") == 3 and s.count("observed-data") == 4 and s.count("network-traffic") == 4
+    assert spark.read.parquet(s.versions["ipv4-addr"][-1]).count() == 2
+    assert {r["src_byte_count"] for r in s.lookup("network-traffic")} == {0, 1, 2, 3}
+    monkeypatch.setattr(module, "DELTAS", 4)
+    s.cache("q9", [bundle([observation(9, {"0": {"type": "ipv4-addr", "value": "10.0.0.1", "x_new": 5}})])])
+    assert len(s.versions["ipv4-addr"]) == 1 and s.count("ipv4-addr") == 3
+    assert [r["x_new"] for r in s.lookup("ipv4-addr") if r["value"] == "10.0.0.1"] == [5]
+    s.extract("late", "ipv4-addr", "q9", "")
+    assert s.count("late") == 1

@@ -72,7 +72,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed payload; numbers are split into byte planes, which compress better."""
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], "<i8").tobytes()
     planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *planes]))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join([head, *planes]))
 
 
 def _unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,12 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = getattr(spark, "_sightline_folder", None)
     if folder is None:
-        folder = f"file://{tempfile.mkdtemp(prefix='sightline-')}"
-        spark._sightline_folder = folder
+        place = tempfile.mkdtemp(prefix="sightline-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        spark._sightline_folder = folder = f"file://{place}"
     return folder
 
 

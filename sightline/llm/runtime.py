@@ -34,10 +34,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """What has been cut goes when the driver ends; a driver that dies leaves it to the folder's own cleaning."""
+    if not _written:
+        atexit.register(_remove)
+    _written.append((spark, path))
+
+
+def _remove() -> None:
+    for spark, path in _written:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended before
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: later stages don't recompute it, nor does a lost executor lose it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -555,11 +555,14 @@ def _filtered(scope: Scope, f: Filter, relation: Callable[[str], DataFrame]) ->
         for k, sub in enumerate(p.subqueries()):
             mark = f"__mark_{id(p)}_{k}"
             inner = sub.rhs.to_df(relation)
-            value = inner.select(F.col(quoted(inner.columns[0])).alias(mark)).where(F.col(mark).isNotNull()).distinct()
+            value = inner.select(F.col(quoted(inner.columns[0])).alias(mark))
             key = scope.find(sub.lhs.name if isinstance(sub.lhs, Column) else sub.lhs, sub.lhs.table if isinstance(sub.lhs, Column) else None)[0]
-            df = df.join(value, key == F.col(mark), "left")
-            found = F.col(mark).isNotNull()
-            marks[id(sub)] = F.when(key.isNotNull(), ~found if sub.op == "NOT IN" else found)
+            # One row: whether there are values, and a null among them; either leaves open what isn't found.
+            about = value.agg((F.count(F.lit(1)) > 0).alias(f"{mark}_any"), (F.count(F.lit(1)) > F.count(mark)).alias(f"{mark}_null"))
+            df = df.join(value.where(F.col(mark).isNotNull()).distinct(), key == F.col(mark), "left").crossJoin(F.broadcast(about))
+            unsure = F.col(f"{mark}_null") | (key.isNull() & F.col(f"{mark}_any"))
+            found = F.when(F.col(mark).isNotNull(), True).when(unsure, F.lit(None).cast("boolean")).otherwise(False)
+            marks[id(sub)] = ~found if sub.op == "NOT IN" else found
     for p in plain:
         df = df.where(p.column(scope, marks))
     return Scope(df, scope.relations)
@@ -577,6 +580,6 @@ def _semi(df: DataFrame, scope: Scope, p: Predicate, relation: Callable[[str], D
         return df.join(inside, key == F.col("__in"), "left_semi")
     if p.op != "NOT IN":
         raise InvalidComparisonOperator(f"{p.op} with a query")
-    # NOT IN is never true for a null, nor for anything if the query returns a null.
+    # NOT IN isn't true for a null if the query returns anything, nor for any value if it returns a null.
     nulls = inside.where(F.col("__in").isNull()).limit(1)
-    return df.where(key.isNotNull()).join(inside, key == F.col("__in"), "left_anti").join(nulls, F.lit(True), "left_anti")
+    return df.join(inside, key == F.col("__in"), "left_anti").join(inside.limit(1), key.isNull(), "left_anti").join(nulls, F.lit(True), "left_anti")

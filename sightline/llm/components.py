@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +33,39 @@ class Forest:
         return True
 
 
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars around the smallest node of each of its components."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    a, b = (np.concatenate([x.column(c).to_numpy() for x in got]) for c in ("a", "b"))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(nodes))
+    for i, j in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True):
+        forest.join(i, j)
+    root = np.fromiter(map(forest.root, range(len(nodes))), np.int64, len(nodes))
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[root[leaf]]), pa.array(nodes[leaf])], schema=_EDGE)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    return cut(edges.mapInArrow(_local, "a long, b long").distinct())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b), longs -> (node, component): the smallest node reachable, for each node that has an edge to another.
 
-    Rounds of contraction: each node hooks to its smallest neighbour, hooks are followed twice, and the edges are
+    Each partition's edges first become stars by union-find: no more edges than nodes, and short ways. Then rounds of contraction: each node hooks to its smallest neighbour, hooks are followed twice, and the edges are
     rewritten between the nodes hooked to, without repeats. Every round at least halves the nodes that still have edges, so the
     rounds grow with the logarithm of a component's length. Minima are aggregated before any shuffle; a hub's edges
     collapse to one row in a round, and the joins on hubs are plain equi-joins that adaptive execution can split.
     Null ends and loops are dropped; repeated edges count once; no edge gives an empty result.
     """
     both = lambda e: e.union(e.select(F.col("b"), F.col("a")))
-    live = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = _stars(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
     labels = None
     while not live.isEmpty():
         hook = both(live).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
@@ -51,7 +77,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         else:
             labels = labels.join(hook, labels["component"] == hook["v"], "left").select("node", F.coalesce("p", "component").alias("component"))
         left, right = hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        live = cut(live.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        live = _stars(live.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return cut(labels)

@@ -35,7 +35,7 @@ from .runtime import bites, cut, from_rows, partitions, texts
 
 TREES, DEPTH, SPARSE = 20, 4, 8
 BLOCK_ROWS, BLOCK_SHINGLES, PIVOTS = 64, 40_000, 64
-#: Rows of (cluster, block, id) that may be broadcast: under 10 MB.
+#: Rows of (cluster, block, id) that may be broadcast: under 30 MB. With more of them the join is a shuffled one.
 BROADCAST_ROWS = 200_000
 _SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")

@@ -65,7 +65,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Null ends and loops are dropped; repeated edges count once; no edge gives an empty result.
     """
     both = lambda e: e.union(e.select(F.col("b"), F.col("a")))
-    live = _stars(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
+    # Written first: whatever Python makes the edges doesn't run beside this one in a task.
+    live = _stars(cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")))
     labels = None
     while not live.isEmpty():
         hook = both(live).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))

@@ -54,7 +54,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         _powers[base] = have = np.multiply.accumulate(have)
-        if n > 1 << 23:  # a very long text: don't keep it
+        if n > 1 << 21:  # a very long text: don't keep it
             del _powers[base]
     return have[:n]
 

@@ -37,7 +37,7 @@ WIDTH, GRAM = 400, 50
 SHALLOW = 32
 #: Runs of one anchor that one task may get: under 10 MB.
 HOT = 8192
-SLAB = 1 << 21
+SLAB = 1 << 19
 _MULT = 0xA0761D6478BD642F
 _INVERSE = pow(_MULT, -1, 1 << 64)
 

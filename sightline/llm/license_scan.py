@@ -88,11 +88,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     known = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,n:int,lo:int,hi:int,b:array<string>>>")
     whole = F.coalesce(F.col(text), F.lit(""))
     units = F.array_distinct(F.concat(F.split(whole, "\n"), F.split(whole, "\n\n+"), F.array(whole)))
-    held = F.lit(False)
-    for sign in _signs(rows):
-        held = held | F.contains(F.col("__lower"), F.lit(f" {sign} "))
     least, most = min(r["lo"] for r in rows), max(r["hi"] for r in rows)
-    d = docs.select(*{*keep, text}, F.concat(F.lit(" "), F.lower(F.regexp_replace(whole, "[^A-Za-z0-9]+", " ")), F.lit(" ")).alias("__lower"))
+    d = docs.select(*{*keep, text}, F.split(F.lower(F.regexp_replace(whole, "[^A-Za-z0-9]+", " ")), " ").alias("__all"))
+    held = F.arrays_overlap("__all", F.array(*map(F.lit, _signs(rows))))
     d = d.select(*keep, F.when(held, units).otherwise(F.array().cast("array<string>")).alias("__units"))
     words = "split(trim(lower(regexp_replace(u, '[^A-Za-z0-9]+', ' '))), ' ')"
     d = d.select(*keep, F.expr(f"transform(__units, u -> struct(u as unit, {words} as w))").alias("__units"))

@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every repeated 400-byte string out of the texts; n_chars follows. A text of which nothing is left stays, empty, as a document."""
-    return suffix_dedup.deduplicate(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Takes every repeated passage of over 50 words, and every repeated 400-byte string, out of the texts; n_chars follows. A text of which nothing is left stays, empty, as a document."""
+    return suffix_dedup.deduplicate(docs.select(COLUMNS), (suffix_dedup.BYTES, suffix_dedup.PASSAGES)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,11 @@ would move hundreds of bytes for each, so the array is sparse, without losing a
    the rest; both follow from the sorted orders and the lengths of the neighbours' common prefixes.
 4. An anchor with more than HOT different runs is not put into one task: its windows are hashed and counted (aggregated before the shuffle).
 
-Texts are read in slabs of SLAB bytes, so memory doesn't grow with a text's length but in the last step, which returns the text.
+A rule says what the strings are made of: bytes (BYTES, width 400), or words (PASSAGES, any 51 words in a row). Words stand between white space
+and are compared without the signs (ASCII other than letters and digits) at their ends, so quotes around a passage or another line break in it hide nothing. Each becomes a
+64-bit hash, and the steps above go over hashes as they do over bytes. The rules of a call go through them together, and what any of them finds goes.
+
+Texts are read in slabs of SLAB bytes, so memory doesn't grow with a text's length but for the hashes of its words and in the last step, which returns the text.
 
 Edge cases: a null text counts as empty; texts shorter than WIDTH lose nothing; rows that repeat a doc_id and text repeat each other; a row is known by doc_id and
 a hash of its text, so null and repeated doc_ids are judged each; an empty table gives an empty result.
@@ -24,24 +28,70 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lsh_forest import _SPACES, _slabs
 from .pretokens import mix, powers, span_hashes
-from .runtime import bites, cut, ddl, partitions, with_columns
+from .runtime import bites, cut, ddl, partitions, texts, with_columns
 
 WIDTH, GRAM = 400, 50
 SHALLOW = 32
 #: Runs of one anchor that one task may get: under 10 MB.
 HOT = 8192
 SLAB = 1 << 19
+_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _MULT = 0xA0761D6478BD642F
 _INVERSE = pow(_MULT, -1, 1 << 64)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Strings of `width` symbols are looked for, by anchors of `gram` symbols. A symbol is a byte or a word's hash."""
+
+    width: int
+    gram: int
+    words: bool = False
+
+    @property
+    def size(self) -> int:
+        """Bytes of a symbol in a run."""
+        return 8 if self.words else 1
+
+
+BYTES = Rule(WIDTH, GRAM)
+#: Passages of over 50 words.
+PASSAGES = Rule(51, 8, words=True)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(_SPACES[data], prepend=True, append=True))
+    return edge[0::2], edge[1::2]
+
+
+def word_hashes(raws: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words without the signs at their ends; a word of signs alone counts as it is."""
+    if len(raws) == 1 and len(raws[0]) > 2 * SLAB:
+        return [np.concatenate([word_hashes([part, b""])[0] for part in _slabs(raws[0])])]
+    data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+    starts, ends = word_spans(data)
+    inner = np.append(np.flatnonzero(_WORD[data]), len(data))
+    first = inner[np.searchsorted(inner, starts)]
+    last = inner[np.searchsorted(inner, ends) - 1] + 1
+    signs = first >= ends
+    h = span_hashes(data, np.where(signs, starts, first), np.where(signs, ends, last))
+    return np.split(h, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))[:-1])
+
+
+def symbols(raws: list[bytes], rule: Rule) -> list[np.ndarray]:
+    return word_hashes(raws) if rule.words else [np.frombuffer(r, np.uint8) for r in raws]
+
+
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     n = len(v)
     blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -52,21 +102,21 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(from_right[: n - width + 1], from_left[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts that stand in data one after another: (text, anchor, first window, last window, hash of the anchor's string, hash of the run's bytes).
+def anchors(data: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """Of texts that stand in data one after another: (text, anchor, first window, last window, hash of the anchor's string, hash of the run's symbols).
 
     Places are counted in data; rows are in order of place."""
     n = len(data)
-    if n < WIDTH:
+    if n < rule.width:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
-    place = np.arange(n - GRAM + 1)
-    h = span_hashes(data, place, place + GRAM)
+    place = np.arange(n - rule.gram + 1)
+    h = span_hashes(data, place, place + rule.gram)
     low = np.uint64(0xFFFFFFFF)
-    least = _sliding_min((h & ~low) | (low - place.astype(np.uint64)), WIDTH - GRAM + 1)
+    least = _sliding_min((h & ~low) | (low - place.astype(np.uint64)), rule.width - rule.gram + 1)
     anchor = (low - (least & low)).astype(np.int64)
     lengths = np.diff(offsets)
-    whole = np.flatnonzero(lengths >= WIDTH)
-    starts = np.concatenate([np.arange(offsets[i], offsets[i + 1] - WIDTH + 1) for i in whole]) if len(whole) else np.zeros(0, np.int64)
+    whole = np.flatnonzero(lengths >= rule.width)
+    starts = np.concatenate([np.arange(offsets[i], offsets[i + 1] - rule.width + 1) for i in whole]) if len(whole) else np.zeros(0, np.int64)
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     a = anchor[starts]
@@ -76,18 +126,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     a = a[new]
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_MULT, n), out=sums[1:])
-    run = mix((sums[last + WIDTH] - sums[first]) * powers(_INVERSE, n + 1)[first])
+    run = mix((sums[last + rule.width] - sums[first]) * powers(_INVERSE, n + 1)[first])
     return np.searchsorted(offsets, a, "right") - 1, a, first, last, h[a], run
 
 
-def slabs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, offsets, row of each piece, place of each piece in its text): all texts of a batch, long ones in overlapping pieces."""
+def slabs(given: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(data, offsets, row of each piece, place of each piece in its text): all texts of a batch as symbols, long ones in overlapping pieces."""
     pieces, rows, places, total = [], [], [], 0
-    for row, text in enumerate(batch.column("text").to_pylist()):
-        raw = (text or "").encode()
-        for at in range(0, max(1, len(raw) - WIDTH + 1), SLAB):
-            piece = raw[at : at + SLAB + WIDTH - 1]
-            if len(piece) < WIDTH:
+    for row, whole in enumerate(given):
+        for at in range(0, max(1, len(whole) - width + 1), SLAB):
+            piece = whole[at : at + SLAB + width - 1]
+            if len(piece) < width:
                 continue
             pieces.append(piece)
             rows.append(row)
@@ -101,49 +150,54 @@ def slabs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _slab(pieces: list, rows: list, places: list) -> tuple:
-    return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0] + [len(p) for p in pieces]), np.array(rows), np.array(places)
+    return np.concatenate(pieces), np.cumsum([0] + [len(p) for p in pieces]), np.array(rows), np.array(places)
 
 
 _KEY = [("k1", pa.int64()), ("k2", pa.int64())]
-_ANCHOR = pa.schema([("h", pa.int64()), ("run", pa.int64()), *_KEY, ("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-_RUN = pa.schema([("hot", pa.bool_()), ("h", pa.int64()), *_KEY, ("first", pa.int64()), ("before", pa.int64()), ("data", pa.binary()), ("w", pa.int64())])
-_RANGE = pa.schema([*_KEY, ("begin", pa.int64()), ("end", pa.int64())])
-_SQL = {pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
+_ANCHOR = pa.schema([("rule", pa.int32()), ("h", pa.int64()), ("run", pa.int64()), *_KEY, ("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_RUN = pa.schema([("hot", pa.bool_()), ("rule", pa.int32()), ("h", pa.int64()), *_KEY, ("first", pa.int64()), ("before", pa.int64()), ("data", pa.binary()), ("w", pa.int64())])
+_RANGE = pa.schema([*_KEY, ("rule", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
 
 
 def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     for batch in bites(batches, "text", 1 << 20):
         k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
-        for data, offsets, rows, places in slabs(batch):
-            text, a, first, last, h, run = anchors(data, offsets)
-            move = places[text] - offsets[text]
-            row = rows[text]
-            columns = [h.view(np.int64), run.view(np.int64), k1[row], k2[row], a + move, first + move, last + move]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ANCHOR)
-
-
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted runs of each text; of an anchor with too many runs a row for each window, with its hash."""
+        raws = [t.encode() for t in texts(batch)]
+        for number, rule in enumerate(rules):
+            for data, offsets, rows, places in slabs(symbols(raws, rule), rule.width):
+                text, a, first, last, h, run = anchors(data, offsets, rule)
+                move = places[text] - offsets[text]
+                row = rows[text]
+                columns = [np.full(len(a), number, np.int32), h.view(np.int64), run.view(np.int64), k1[row], k2[row], a + move, first + move, last + move]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ANCHOR)
+
+
+def _fetch(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
+    """The symbols of the wanted runs of each text, words as eight bytes each; of an anchor with too many runs a row for each window, with its hash."""
     for batch in bites(batches, "text", 1 << 20):
         out: list[list] = [[] for _ in _RUN]
-        for k1, k2, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "wanted")), strict=True):
-            raw = text.encode()
-            for x in wanted:
-                first, last, before = x["first"], x["last"], x["at"] - x["first"]
-                part = raw[first : last + WIDTH]
-                if not x["hot"]:
-                    for column, v in zip(out, (False, x["h"], k1, k2, first, before, part, None), strict=True):
-                        column.append(v)
-                    continue
-                n = last - first + 1
-                s = np.arange(n)
-                w = span_hashes(np.frombuffer(part, np.uint8), s, s + WIDTH).view(np.int64)
-                for column, v in zip(out, ([True] * n, [x["h"]] * n, [k1] * n, [k2] * n, (s + first).tolist(), (before - s).tolist(), [None] * n, w.tolist()), strict=True):
-                    column.extend(v)
+        raws = [t.encode() for t in texts(batch)]
+        for number, rule in enumerate(rules):
+            for k1, k2, given, wanted in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2")), symbols(raws, rule), batch.column("wanted").to_pylist(), strict=True):
+                for x in wanted:
+                    if x["rule"] != number:
+                        continue
+                    first, last, before = x["first"], x["last"], x["at"] - x["first"]
+                    part = given[first : last + rule.width]
+                    if not x["hot"]:
+                        for column, v in zip(out, (False, number, x["h"], k1, k2, first, before, (part.astype(">u8") if rule.words else part).tobytes(), None), strict=True):
+                            column.append(v)
+                        continue
+                    n = last - first + 1
+                    s = np.arange(n)
+                    w = span_hashes(part, s, s + rule.width).view(np.int64)
+                    for column, v in zip(out, ([True] * n, [number] * n, [x["h"]] * n, [k1] * n, [k2] * n, (s + first).tolist(), (before - s).tolist(), [None] * n, w.tolist()), strict=True):
+                        column.extend(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _RUN, strict=True)], schema=_RUN)
 
 
@@ -236,21 +290,21 @@ def neighbour_lengths(group: np.ndarray, strings: list[bytes], order: np.ndarray
     return out
 
 
-def repeated_windows(group: np.ndarray, runs: list[bytes], before: np.ndarray) -> list[np.ndarray]:
-    """For each run, which of its windows another window equals; before: bytes ahead of the anchor. Groups share the anchor's string."""
-    n = len(runs)
-    windows = np.array([len(r) - WIDTH + 1 for r in runs])
+def repeated_windows(group: np.ndarray, runs: list[bytes], before: np.ndarray, rule: Rule = BYTES) -> list[np.ndarray]:
+    """For each run, which of its windows another window equals; before: symbols ahead of the anchor. Groups share the anchor's string."""
+    n, size = len(runs), rule.size
+    windows = np.array([len(r) // size - rule.width + 1 for r in runs])
     base = np.cumsum(windows) - windows
     out = np.zeros(int(windows.sum()), bool)
-    right = [r[b:] for r, b in zip(runs, before.tolist(), strict=True)]
-    left = [r[b - 1 :: -1] if b else b"" for r, b in zip(runs, before.tolist(), strict=True)]
-    orders = [(o := deep_shallow(group, s, skip), neighbour_lengths(group, s, o)) for s, skip in ((right, GRAM), (left, 0))]
+    right = [r[b * size :] for r, b in zip(runs, before.tolist(), strict=True)]
+    left = [r[b * size - 1 :: -1] if b else b"" for r, b in zip(runs, before.tolist(), strict=True)]
+    orders = [(o := deep_shallow(group, s, skip), neighbour_lengths(group, s, o) // size) for s, skip in ((right, rule.gram * size), (left, 0))]
     classes = [np.empty(n, np.int64), np.empty(n, np.int64)]
-    for distance in range(WIDTH - GRAM + 1):
+    for distance in range(rule.width - rule.gram + 1):
         at = np.flatnonzero((before >= distance) & (before - distance < windows))
         if len(at) < 2:
             continue
-        for (order, lengths), need, c in zip(orders, (WIDTH - distance, distance), classes, strict=True):
+        for (order, lengths), need, c in zip(orders, (rule.width - distance, distance), classes, strict=True):
             c[order] = np.cumsum(lengths < need)
         key = classes[0][at] * n + classes[1][at]
         by = np.argsort(key, kind="stable")
@@ -261,46 +315,51 @@ def repeated_windows(group: np.ndarray, runs: list[bytes], before: np.ndarray) -
     return np.split(out, base[1:])
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     data = pa.Table.from_batches(got)
-    h, k1, k2, first, before = (data.column(c).to_numpy() for c in ("h", "k1", "k2", "first", "before"))
-    marks = repeated_windows(np.unique(h, return_inverse=True)[1], data.column("data").to_pylist(), before)
-    rows: list[list] = [[], [], [], []]
-    for i, m in enumerate(marks):
-        if m.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
-            for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-                for col, v in zip(rows, (k1[i], k2[i], first[i] + a, first[i] + b - 1 + WIDTH), strict=True):
-                    col.append(v)
-    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows], schema=_RANGE)
-
-
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """docs(k1, k2, text) -> (k1, k2, begin, end): byte ranges that together cover what is repeated."""
+    for number, rule in enumerate(rules):
+        own = data.filter(pc.equal(data.column("rule"), number))
+        if not own.num_rows:
+            continue
+        h, k1, k2, first, before = (own.column(c).to_numpy() for c in ("h", "k1", "k2", "first", "before"))
+        marks = repeated_windows(np.unique(h, return_inverse=True)[1], own.column("data").to_pylist(), before, rule)
+        rows: list[list] = [[] for _ in _RANGE]
+        for i, m in enumerate(marks):
+            if m.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
+                for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+                    for col, v in zip(rows, (k1[i], k2[i], number, first[i] + a, first[i] + b - 1 + rule.width), strict=True):
+                        col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, _RANGE, strict=True)], schema=_RANGE)
+
+
+def repeated_ranges(docs: DataFrame, rules: tuple[Rule, ...] = (BYTES,)) -> DataFrame:
+    """docs(k1, k2, text) -> (k1, k2, rule, begin, end): ranges of the rule's symbols that together cover what is repeated."""
     n = partitions(docs.sparkSession)
-    found = cut(docs.mapInArrow(_find, _ddl(_ANCHOR)))
+    width = F.element_at(F.array(*[F.lit(r.width) for r in rules]), F.col("rule") + 1)
+    found = cut(docs.mapInArrow(lambda b: _find(b, rules), _ddl(_ANCHOR)))
     # Counts are written before they are joined: a join right above an aggregation couldn't be split where a key is frequent.
     often = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     again = cut(found.join(often, "h"))
     kinds = cut(again.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "first")).alias("one")))
     mixed = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("kinds > 1 and single > 0").select("h", "kinds"))
     judged = cut(again.join(kinds, ["h", "run"]).join(mixed, "h", "left"))
-    whole = judged.where("n > 1").select("k1", "k2", F.col("first").alias("begin"), (F.col("last") + WIDTH).alias("end"))
+    whole = judged.where("n > 1").select("k1", "k2", "rule", F.col("first").alias("begin"), (F.col("last") + width).alias("end"))
     wanted = judged.where("kinds is not null").where(F.struct("k1", "k2", "at", "first") == F.col("one"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "at", "first", "last", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))
-    runs = cut(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_fetch, _ddl(_RUN)))
-    cold = runs.where("not hot").repartition(n, "h").mapInArrow(_sort, _ddl(_RANGE))
-    hot = runs.where("hot").select("h", "k1", "k2", "first", "before", "w")
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("rule", "h", "at", "first", "last", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))
+    runs = cut(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(lambda b: _fetch(b, rules), _ddl(_RUN)))
+    cold = runs.where("not hot").repartition(n, "h").mapInArrow(lambda b: _sort(b, rules), _ddl(_RANGE))
+    hot = runs.where("hot").select("h", "k1", "k2", "rule", "first", "before", "w")
     twice = cut(hot.groupBy("h", "before", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    hot = hot.join(twice, ["h", "before", "w"]).select("k1", "k2", F.col("first").alias("begin"), (F.col("first") + WIDTH).alias("end"))
+    hot = hot.join(twice, ["h", "before", "w"]).select("k1", "k2", "rule", F.col("first").alias("begin"), (F.col("first") + width).alias("end"))
     return whole.union(cold).union(hot)
 
 
 def _keep(raw: bytes, ranges: list[dict]) -> tuple[bytes, int]:
-    """What is left of a text, and the number of runs taken out."""
+    """What is left of a text, and the number of runs taken out; ranges are of bytes."""
     out, at, spans, end = [], 0, 0, -1
     for r in sorted(ranges, key=lambda r: r["begin"]):
         if r["begin"] > end:
@@ -312,11 +371,19 @@ def _keep(raw: bytes, ranges: list[dict]) -> tuple[bytes, int]:
     return b"".join(out), spans
 
 
-def _cleared(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs(doc_id, text, ...) with __ranges: the repeated byte ranges of its text, or null."""
+def _in_bytes(raw: bytes, ranges: list[dict], rules: tuple[Rule, ...]) -> list[dict]:
+    """The ranges with those of words as the bytes from the first word's begin to the last word's end."""
+    if not any(rules[r["rule"]].words for r in ranges):
+        return ranges
+    starts, ends = word_spans(np.frombuffer(raw, np.uint8))
+    return [{"begin": int(starts[r["begin"]]), "end": int(ends[r["end"] - 1])} if rules[r["rule"]].words else r for r in ranges]
+
+
+def _cleared(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[str]]:
+    """docs(doc_id, text, ...) with __ranges: the repeated ranges of its text (rule, begin, end), or null."""
     own = [c for c in docs.columns if c not in ("k1", "k2", "__ranges")]
     keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"))
-    ranges = repeated_ranges(keyed.select("k1", "k2", "text")).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("__ranges"))
+    ranges = repeated_ranges(keyed.select("k1", "k2", "text"), rules).groupBy("k1", "k2").agg(F.collect_set(F.struct("rule", "begin", "end")).alias("__ranges"))
     return keyed.join(cut(ranges), ["k1", "k2"], "left"), own
 
 
@@ -336,19 +403,24 @@ def digests(docs: DataFrame) -> DataFrame:
             arrays = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(shas, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    cleared, _ = _cleared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    cleared, _ = _cleared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), (BYTES,))
     return cleared.select("doc_id", "text", "__ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with what is left of each text; all its columns stay, k1, k2 and __ranges excepted. Where a cut leaves part of a character, that part goes too."""
+def deduplicate(docs: DataFrame, rules: tuple[Rule, ...] = (BYTES,)) -> DataFrame:
+    """docs with what is left of each text when all that any rule finds is out; all its columns stay, k1, k2 and __ranges excepted. Where a cut leaves part of a character, that part goes too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bites(batches, "text", 1 << 21):
-            kept = [t if not ranges else _keep(t.encode(), ranges)[0].decode(errors="ignore") for t, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges").to_pylist(), strict=True)]
+            kept = []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges").to_pylist(), strict=True):
+                if ranges:
+                    raw = text.encode()
+                    text = _keep(raw, _in_bytes(raw, ranges, rules))[0].decode(errors="ignore")
+                kept.append(text)
             yield with_columns(batch.drop_columns(["text", "__ranges"]), {"text": pa.array(kept, pa.string())})
 
-    cleared, own = _cleared(docs)
+    cleared, own = _cleared(docs, rules)
     cleared = cleared.select(*[c for c in own if c != "text"], "text", "__ranges")
     shape = cleared.drop("__ranges")
     return cleared.mapInArrow(run, ddl(shape)).select(*own)

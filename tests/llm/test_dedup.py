@@ -1,5 +1,9 @@
 import hashlib
+import random
+import re
+from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -111,6 +115,43 @@ def test_suffix_dedup_texts(docs, empty):
     assert suffix_dedup.digests(empty).count() == 0 and suffix_dedup.deduplicate(empty).count() == 0
 
 
+def passages_removed(texts, width=51):
+    """By brute force: what is left when every run of so many words that starts anywhere else too is out."""
+    words = [[(m.start(), m.end(), re.sub(r"^[\x00-\x2f:-@\[-`{-\x7f]+|[\x00-\x2f:-@\[-`{-\x7f]+$", "", m[0]) or m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    count = Counter(tuple(w[2] for w in ws[i : i + width]) for ws in words for i in range(len(ws) - width + 1))
+    out = []
+    for t, ws in zip(texts, words, strict=True):
+        gone = [False] * len(t)
+        for i in range(len(ws) - width + 1):
+            if count[tuple(w[2] for w in ws[i : i + width])] > 1:
+                gone[ws[i][0] : ws[i + width - 1][1]] = [True] * (ws[i + width - 1][1] - ws[i][0])
+        out.append("".join(c for c, g in zip(t, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("hot", [192, 2])
+def test_passages_of_over_50_words(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SLAB", 1 << 14)
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in suffix_dedup.deduplicate(docs, (suffix_dedup.PASSAGES,)).collect())
+    assert got == sorted((i or -1, t) for (i, _), t in zip(rows, passages_removed([t or "" for _, t in rows]), strict=True))
+
+
+def test_short_words_of_passages(spark):
+    """Passages of 51 to 60 words of one to three letters are far under 400 bytes; one of 50 words stays."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    text = lambda n, most: " ".join(word(rng.randrange(1, most)) for _ in range(n))
+    planted = {n: text(n, 4) for n in range(50, 61)}
+    frames = ["{} {} {}", "{}\n{}\n{}", '{} "{}" {}', "{}\r\n({}),\t{}"]
+    rows = [(100 * n + k, frame.format(text(70, 9), p.replace(" ", "\n", k), text(70, 9))) for n, p in planted.items() for k, frame in enumerate(frames)]
+    rows.append((1, f"{text(5, 9)} {planted[60]} {planted[51]} {text(5, 9)}"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "0L as n_chars"), "").collect()}
+    for i, t in rows:
+        n = i // 100
+        assert len(got[i].split()) == (10 if i == 1 else 140 if n > 50 else 190), (i, t, got[i])
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(2)
     strings = [b"same beginning " * 4 + bytes(rng.integers(97, 99, rng.integers(0, 80)).astype(np.uint8)) for _ in range(300)] + [b"", b"a", b"a\0", b"a"]

@@ -223,3 +223,25 @@ def test_broken_and_remote_bundles(spark, tmp_path):
         got = objects_of(bundles.read_objects(spark, [f"http://127.0.0.1:{server.server_port}/b.json", connections(1)]))
         server.shutdown()
     assert len(got) == 7
+
+
+def test_json_lines_of_late_and_mixed_formats(spark, tmp_path):
+    """The first known event stands behind 150 others; a folder holds files of two formats and one of none. Small parts make files span tasks."""
+    folder = tmp_path / "logs.jsonl"
+    folder.mkdir()
+    beats = [{"heartbeat": n} for n in range(150)]
+    flat = [{"type": "ipv4-addr", "value": f"10.0.0.{n}"} for n in range(60)]
+    zeek = [{"id.orig_h": f"10.1.0.{n}", "id.orig_p": 1, "id.resp_h": "10.2.0.1", "id.resp_p": 53, "proto": "udp", "ts": 1.5} for n in range(40)]
+    for name, events in (("a", beats + flat), ("b", zeek), ("c", beats)):
+        (folder / f"{name}.jsonl").write_text("\n".join(map(json.dumps, events)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for path, n in ((folder / "a.jsonl", 60), (folder / "b.jsonl", 40), (folder / "c.jsonl", 0), (folder, 100)):
+                made = [json.loads(r["object"]) for r in logs.convert(spark, str(path)).collect()]
+                assert [o["type"] for o in made].count("observed-data") == n and len(made) == n + 1
+            values = {x["value"] for o in made[1:] for x in o["objects"].values() if x["type"] == "ipv4-addr"}
+            assert values == {e["value"] for e in flat} | {e["id.orig_h"] for e in zeek} | {"10.2.0.1"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

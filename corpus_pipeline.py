@@ -35,10 +35,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group of near-duplicates (five words, similarity 0.8).
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id can't be named by a group and all stay."""
+    Texts that share a doc_id are judged each: a row is known by doc_id and text. Rows with a null doc_id can't be named by a group and all stay."""
     docs = docs.select(COLUMNS)
-    kept = lsh_forest.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS).union(docs.where("doc_id is null"))
+    keyed = docs.where("doc_id is not null").withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = lsh_forest.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, percent=80)
+    groups = cut(groups.select(F.col("doc_id").alias("__key"), "component_id").distinct())
+    kept = keyed.select("__key", "doc_id").join(groups, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("one")).select("one.__key")
+    return keyed.join(cut(kept), "__key", "left_semi").dropDuplicates(["__key"]).select(COLUMNS).union(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,12 @@ def test_stages(spark, tmp_path):
 def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+
+
+def test_texts_that_share_a_doc_id(spark):
+    rng = random.Random(10)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b + " more"), (2, c), (2, c), (0, a + " more")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted([(0, a + " more"), (1, b), (2, c)])

@@ -137,19 +137,19 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], *, epochs:
     return ByteCNN(languages, params["e"], [params[f"f{w}"] for w in WIDTHS], [params[f"c{w}"] for w in WIDTHS], params["w"], params["b"])
 
 
-def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, most_languages: int = 64) -> ByteCNN | None:
+def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> ByteCNN | None:
     """A network from the text and lang of docs; None if no row has both.
 
-    It learns from a bounded sample: of each of the most_languages most frequent languages about rows_a_language rows, by the hash of
+    It learns from a bounded sample: of each language about rows_a_language rows, by the hash of
     doc_id, and of each row one window at a place that the hash picks. The driver gets those windows only."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit("rows")), F.lit(1_000_000)) / 1_000_000
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * rows_a_language / n)))])
+    share = F.broadcast(docs.sparkSession.createDataFrame([(lang, min(1.0, 1.3 * rows_a_language / n)) for lang, n in counts.items()], "lang string, share double"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - WINDOW))
-    sample = known.where(F.col("lang").isin(*counts)).where(draw < share[F.col("lang")]).select("lang", F.substring(F.col("text"), (place + 1).cast("int"), F.lit(WINDOW)).alias("piece"), F.xxhash64("doc_id", F.lit("order")).alias("o"))
+    sample = known.join(share, "lang").where(draw < F.col("share")).select("lang", F.substring(F.col("text"), (place + 1).cast("int"), F.lit(WINDOW)).alias("piece"), F.xxhash64("doc_id", F.lit("order")).alias("o"))
     got = sample.orderBy("o", "lang").limit(2 * rows_a_language * len(counts)).collect()
     languages = sorted(counts)
     x = np.full((len(got), WINDOW), 256, np.uint16)

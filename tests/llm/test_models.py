@@ -161,3 +161,9 @@ def test_signs_lose_no_match():
         for _ in range(50):
             kept = rng.sample(r["b"], r["lo"])
             assert any(set(x.split()) & set(signs) for x in kept)
+
+
+def test_every_language_is_a_class(spark):
+    rows = [(k, chr(0x400 + 3 * (k % 70)) * 40, f"l{k % 70}") for k in range(280)]
+    model = byte_cnn.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({r[2] for r in rows})

@@ -8,7 +8,7 @@ most; these are merged between partitions in rounds of GROUP partitions, and the
 Bounded memory: a task holds open_windows windows and one batch; a round's task holds GROUP windows.
 
 Edge cases: a null or empty text is a document of one id (the end mark); a repeated doc_id is packed as often as it stands; an empty table gives
-an empty result. A piece never crosses documents; pieces of a document cover its ids once, in order of `start`.
+an empty result. A text that holds one of the tokenizer's added tokens is encoded by the library as a whole. A piece never crosses documents; pieces of a document cover its ids once, in order of `start`.
 """
 
 from __future__ import annotations
@@ -36,6 +36,16 @@ _RAW = "part long, doc_id long, start long, length long, ids_crc32 long, doc_tok
 _ARROW = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in _RAW.split(", ")])
 
 
+@lru_cache(2)
+def whole_encoder(path: str) -> tuple[list[str], Callable[[str], np.ndarray]]:
+    """The tokenizer's added tokens, and its own encoding of a text: added tokens that stand in the text are ids of their own."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    marks = sorted({lowered(x.content) for x in t.get_added_tokens_decoder().values()})
+    return marks, lambda text: np.array([*t.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
+
+
 @lru_cache(2)
 def word_ids(path: str) -> WordIds:
     """Ids of lower-cased words by the tokenizers library; every word's last token, and no other, ends with the mark `</w>`."""
@@ -179,7 +189,13 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_windows: int = O
         rows = _Rows(TaskContext.get().partitionId())
         packer = Packer(rows.emit, length, open_windows)
         for batch in bites(batches, "text", chars):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), document_ids(texts(batch), word_ids(path)), strict=True):
+            given = texts(batch)
+            marks, encode = whole_encoder(path)
+            marked = {i for i, t in enumerate(given) if any(m in x for x in [lowered(t)] for m in marks)}
+            coded = document_ids(["" if i in marked else t for i, t in enumerate(given)], word_ids(path))
+            for i in marked:
+                coded[i] = encode(given[i])
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 packer.add(doc, 0, len(ids), ids)
             yield rows.batch()
         rows.leftover(packer.leftover())

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 import regex
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sightline.llm import edit_counts, open_window_packing, pretokens, word_bpe
 
@@ -158,3 +159,13 @@ def test_recount(docs, rows, spark):
     t = dict(rows)[10]
     t = t[:5] + "new " + t[5:]
     assert [r["n_tokens_after"] for r in made if r["doc_id"] == 10] == [len(enc.encode_ordinary(t[3:]))] and len(made) == len(rows)
+
+
+def test_added_tokens_in_texts(spark):
+    t = Tokenizer.from_file(WORD)
+    given = ["hello <|endoftext|> world", "<|startoftext|>a b<|endoftext|>", "A<|ENDOFTEXT|>b", "plain words", "<|endoftext|>" * 3]
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for x in given]
+    rows = open_window_packing.pack(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1), WORD).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(x) for i, x in enumerate(want)}
+    for r in rows:
+        assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())

@@ -2,7 +2,7 @@
 
 Both splits work on arrays of code points: a boundary lies where the class of the character changes, and the few rules that
 look further (a space that joins the next word, contractions, white space before a word) move boundaries. Words are known by a
-64-bit polynomial hash of their code points, so that a batch of texts is encoded by encoding each distinct word once.
+64-bit hash of their code points, so that a batch of texts is encoded by encoding each distinct word once.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ import numpy as np
 import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-_MULT = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULT, -1, 1 << 64)
+_SEED, _STEP = np.uint64(0x243F6A8885A308D3), np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(1)
@@ -45,34 +44,46 @@ def pieces(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-        if n > 1 << 21:  # a very long text: don't keep it
-            del _powers[base]
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Fixed 64-bit finaliser: two xor-shift-multiply rounds."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of symbols[starts:ends], equal for equal spans wherever they stand."""
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * powers(_MULT, len(symbols)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(symbols) + 1)[starts])
+    """64-bit hashes of the spans symbols[starts:ends], equal for equal spans wherever they stand. Spans are in order and don't overlap.
+
+    A sum of the finaliser's values of (place in the span, symbol): no algebra of places or symbols lies under it that patterns in a text could meet."""
+    n = len(symbols)
+    begin = np.zeros(n, np.int64)
+    begin[starts] = starts
+    np.maximum.accumulate(begin, out=begin)
+    place = np.arange(n) - begin
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix((place.astype(np.uint64) << np.uint64(32) | symbols) ^ _SEED), out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def window_hashes(symbols: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all windows of so many symbols (bytes, or hashes of words): of two windows that cover it each, from eight bytes, or one word, up."""
+    if len(symbols) < width:
+        return np.zeros(0, np.uint64)
+    if symbols.dtype == np.uint8:
+        if width < 8:
+            raise ValueError("windows of bytes have eight at least")
+        h, have = np.ndarray(len(symbols) - 7, "<u8", np.ascontiguousarray(symbols), strides=(1,)).astype(np.uint64), 8
+    else:
+        h, have = symbols.astype(np.uint64), 1
+    h = mix(h ^ _SEED)
+    while have < width:
+        step = min(have, width - have)
+        h = mix(h[:-step] * _STEP + h[step:])
+        have += step
+    return h
 
 
 class Split:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lsh_forest import _SPACES, _slabs
-from .pretokens import mix, powers, span_hashes
+from .pretokens import mix, span_hashes, window_hashes
 from .runtime import bites, cut, ddl, partitions, texts, with_columns
 
 WIDTH, GRAM = 400, 50
@@ -46,8 +46,7 @@ SHALLOW = 32
 HOT = 8192
 SLAB = 1 << 19
 _WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
-_MULT = 0xA0761D6478BD642F
-_INVERSE = pow(_MULT, -1, 1 << 64)
+_STEP = np.uint64(0xA0761D6478BD642F)
 
 
 @dataclass(frozen=True)
@@ -110,7 +109,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarr
     if n < rule.width:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     place = np.arange(n - rule.gram + 1)
-    h = span_hashes(data, place, place + rule.gram)
+    h = window_hashes(data, rule.gram)
     low = np.uint64(0xFFFFFFFF)
     least = _sliding_min((h & ~low) | (low - place.astype(np.uint64)), rule.width - rule.gram + 1)
     anchor = (low - (least & low)).astype(np.int64)
@@ -124,9 +123,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarr
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     a = a[new]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_MULT, n), out=sums[1:])
-    run = mix((sums[last + rule.width] - sums[first]) * powers(_INVERSE, n + 1)[first])
+    # A run's hash: of the grams that cover it one after another, each at its number, and the last one.
+    size = last + rule.width - first
+    grams = size // rule.gram
+    ends = np.cumsum(grams)
+    number = np.arange(ends[-1]) - np.repeat(ends - grams, grams)
+    each = mix(h[np.repeat(first, grams) + number * rule.gram] + number.astype(np.uint64) * _STEP)
+    run = mix(np.add.reduceat(each, ends - grams) + mix(h[last + rule.width - rule.gram] ^ size.astype(np.uint64)))
     return np.searchsorted(offsets, a, "right") - 1, a, first, last, h[a], run
 
 
@@ -195,7 +198,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterat
                         continue
                     n = last - first + 1
                     s = np.arange(n)
-                    w = span_hashes(part, s, s + rule.width).view(np.int64)
+                    w = window_hashes(part, rule.width).view(np.int64)
                     for column, v in zip(out, ([True] * n, [number] * n, [x["h"]] * n, [k1] * n, [k2] * n, (s + first).tolist(), (before - s).tolist(), [None] * n, w.tolist()), strict=True):
                         column.extend(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _RUN, strict=True)], schema=_RUN)

@@ -38,3 +38,9 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.limit(0)
+
+
+def thue_morse(n, letters="ab"):
+    """n letters and their complement: texts that hashes by powers modulo 2^64 can't tell apart."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)

@@ -7,7 +7,9 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from sightline.llm import components, cover_tree_dedup, lsh_forest, suffix_dedup
+from sightline.llm import components, cover_tree_dedup, lsh_forest, pretokens, suffix_dedup
+
+from .conftest import thue_morse
 
 
 def groups(ids, edges):
@@ -199,3 +201,21 @@ def test_cover_tree(spark, monkeypatch, split):
     key = lambda t: (t[0] or -1, *t[1:3])
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == sorted(want, key=str) and key
     assert cover_tree_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_hashes_tell_patterned_texts_apart(spark):
+    for n in (512, 1024, 2048, 4096, 1 << 15):
+        both = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+        h = pretokens.span_hashes(both, np.array([0, n]), np.array([n, 2 * n]))
+        assert h[0] != h[1]
+        for width in (8, 50, 400):
+            got = {}
+            for s, x in enumerate(pretokens.window_hashes(both, width).tolist()):
+                assert got.setdefault(x, both[s : s + width].tobytes()) == both[s : s + width].tobytes()
+    a, b = thue_morse(1024)
+    rows = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, f"x {a} y"), (6, " ".join(thue_morse(1024)[0])), (7, " ".join(thue_morse(1024)[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(docs, 4, 80).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 5)] == [1, 2, 3, 4, 3]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(docs).collect()}
+    assert [found[i] for i, _ in rows] == removed([t.encode() for _, t in rows])

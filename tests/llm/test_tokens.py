@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 
 from sightline.llm import edit_counts, open_window_packing, pretokens, word_bpe
 
+from .conftest import thue_morse
+
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PLAIN = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -169,3 +171,21 @@ def test_added_tokens_in_texts(spark):
     assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(x) for i, x in enumerate(want)}
     for r in rows:
         assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_patterned_words(spark, n):
+    a, b = thue_morse(n)
+    rows = [(1, a), (2, b), (3, f"{b} {a}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    enc = word_bpe.encoding(MULTI)
+    for r in word_bpe.digests(docs, MULTI).collect():
+        text = dict(rows)[r["doc_id"]]
+        ids = np.array(enc.encode_ordinary(text), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    t = Tokenizer.from_file(WORD)
+    for (_, text), ids in zip(rows, open_window_packing.document_ids([t for _, t in rows], open_window_packing.word_ids(WORD)), strict=True):
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+    plain = word_bpe.encoding(PLAIN)
+    counted = edit_counts.recount(docs.withColumn("edits", edit_counts.sample_edits()), PLAIN).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in counted} == {i: len(plain.encode_ordinary(x)) for i, x in rows}

@@ -4,15 +4,16 @@ Vectors are compared within their label (and dimension) only, as unit vectors, w
 
 1. Top of the tree: at most PIVOTS vectors, those of the smallest hashes, are the nodes of the upper level over all labels; each vector belongs to the
    nearest pivot of its label. A dense region gets pivots in proportion to its rows, so cells stay even. Cells with more than SPLIT_ROWS vectors
-   get pivots of their own, beside the one they have, level by level; a cell with more than BLOCK_ROWS vectors is dealt into blocks under the same pivot.
-2. Each block becomes a cover tree: nested levels of centres with halving radii, every node with its true covering radius.
-3. Pairs of blocks whose balls are too far apart for the threshold are dropped; the others are traversed together: a pair of nodes is
+   get pivots of their own, beside the one they have, level by level; a cell with more than BLOCK_ROWS vectors is dealt into rings by the distance from its pivot, and rings into blocks.
+2. Each block becomes a cover tree, once: nested levels of centres with halving radii, every node with its true covering radius.
+3. Pairs of blocks whose balls or rings are too far apart for the threshold are dropped; the others are traversed together: a pair of nodes is
    pruned if its balls can't hold a linked pair, counted as a whole if they can't hold an unlinked one, and else replaced by the pairs of
-   their children. Single vectors are compared in double precision.
+   their children. Distances are computed for children of live pairs only, and not where the parents' distance already rules a link out or is the children's own.
+   Single vectors are compared in double precision.
 A task returns how many vectors each of its vectors is linked with and a spanning forest of the links, never the pairs.
 
 Memory: a task holds two blocks. Where vectors have no near neighbours in many dimensions, balls overlap and few pairs of blocks are pruned:
-the comparisons then grow with the square of a label's distinct vectors, at one matrix product for a pair of blocks.
+the comparisons then grow with the square of a label's distinct vectors.
 
 Edge cases: null, empty and zero vectors, vectors with null or non-finite components, and rows with a null label or vec_id link with nothing and are their own component (null
 for a null vec_id); vectors of different lengths aren't compared; repeated rows are vectors of their own; an empty table gives an empty result.
@@ -36,8 +37,10 @@ PIVOTS = 512
 LEVELS = 4
 SPLIT_ROWS = 65_536
 BLOCK_ROWS = 1024
-RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
+RADII = (2.0, 1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-9
+#: Children of a pair of nodes from which their centres are compared by one product; pairs of nodes that are gathered at a time.
+WIDE, SLICE = 256, 1 << 15
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -51,48 +54,118 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CoverTree:
-    """Levels of nodes; a node covers the vectors members[lo:hi] within its radius of the vector `centre`. The last level is the vectors themselves."""
-
-    def __init__(self, x: np.ndarray):
-        n = len(x)
-        self.x = x
-        nodes = [(0, list(range(n)))]  # centre, members
-        self.levels = []
-        shape = [(0, nodes)]
+    """Levels of nodes; a node covers the vectors members[lo:hi] within its radius of the vector `centre`, which is `gap` away from its parent's. The first level is one node, the last the vectors
+    themselves; children of node k are the nodes first[k] to first[k + 1] of the next level, and one of them has its centre."""
+
+    _ARRAYS = ("centre", "lo", "hi", "radius", "gap", "first")
+
+    def __init__(self, x: np.ndarray, levels: list[dict[str, np.ndarray]], members: np.ndarray):
+        self.x, self.levels, self.members = x, levels, members
+        for level in levels:
+            level["x"] = x[level["centre"]]
+
+    @classmethod
+    def grown(cls, x: np.ndarray) -> CoverTree:
+        """A node's vectors fall to the first centre within the next radius; what is left makes a centre of its first."""
+        nodes = [(0, np.arange(len(x)))]
+        shape: list[tuple[list[int], list]] = [([0], nodes)]
         for r in RADII[1:]:
-            lower = []
-            for parent, (centre, members) in enumerate(nodes):
-                rest = np.array(members)
-                while len(rest):
-                    d = distances(x[centre : centre + 1], x[rest])[0]
-                    near = (d <= r) | (rest == centre)
-                    lower.append((parent, centre, rest[near].tolist()))
+            parents, lower = [], []
+            for parent, (centre, rest) in enumerate(nodes):
+                while len(rest) > 1:
+                    near = (distances(x[centre : centre + 1], x[rest])[0] <= r) | (rest == centre)
+                    parents.append(parent)
+                    lower.append((centre, rest[near]))
                     rest = rest[~near]
                     centre = int(rest[0]) if len(rest) else centre
-            nodes = [(c, m) for _, c, m in lower]
-            shape.append(([p for p, _, _ in lower], nodes))
-        order = [i for _, m in nodes for i in m]
-        self.members = np.array(order)
-        shape.append(([k for k, (_, m) in enumerate(nodes) for _ in m], [(i, [i]) for i in order]))
+                if len(rest):
+                    parents.append(parent)
+                    lower.append((int(rest[0]), rest))
+            nodes = lower
+            shape.append((parents, nodes))
+        members = np.concatenate([m for _, m in nodes])
+        shape.append(([k for k, (_, m) in enumerate(nodes) for _ in m], [(i, np.array([i])) for i in members.tolist()]))
+        levels: list[dict[str, np.ndarray]] = []
         for parents, level in shape:
             size = np.array([len(m) for _, m in level])
             hi = np.cumsum(size)
-            centres = np.array([c for c, _ in level])
-            lo = hi - size
-            gap = np.zeros(n)
-            owner = np.repeat(np.arange(len(level)), size)
-            inside = np.array([i for _, m in level for i in m])
-            gap = np.sqrt(np.maximum(0, 2 - 2 * (x[inside] * x[centres[owner]]).sum(axis=1)))
-            gap[inside == centres[owner]] = 0
-            self.levels.append({"centre": centres, "lo": lo, "hi": hi, "radius": np.maximum.reduceat(gap, lo), "parent": np.array(parents) if len(self.levels) else None})
-        # Children of node k of a level: first[k] to first[k + 1] of the next one.
-        for upper, lower in zip(self.levels, self.levels[1:], strict=False):
-            upper["first"] = np.searchsorted(lower["parent"], np.arange(len(upper["centre"]) + 1))
-
-
-def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(weight linked with each vector of a, the same for b, spanning links (i of a, j of b)); same: a and b are one tree, and each vector's own weight isn't counted."""
-    limit = math.sqrt(2 - 2 * cosine)
+            centre = np.array([c for c, _ in level])
+            inside = np.concatenate([m for _, m in level])
+            far = np.sqrt(np.maximum(0, 2 - 2 * (x[inside] * x[np.repeat(centre, size)]).sum(axis=1)))
+            far[inside == np.repeat(centre, size)] = 0
+            above = levels[-1]["centre"][parents] if levels else centre
+            gap = np.where(above == centre, 0.0, np.sqrt(np.maximum(0, 2 - 2 * (x[above] * x[centre]).sum(axis=1))))
+            if levels:
+                levels[-1]["first"] = np.searchsorted(parents, np.arange(len(levels[-1]["centre"]) + 1))
+            levels.append({"centre": centre, "lo": hi - size, "hi": hi, "radius": np.maximum.reduceat(far, hi - size), "gap": gap, "first": np.zeros(0, np.int64)})
+        return cls(x, levels, members)
+
+    def packed(self) -> bytes:
+        """All but the vectors: how many nodes each level has, then the arrays."""
+        head = np.array([len(self.levels), *(len(level["centre"]) for level in self.levels)], "<i8")
+        parts = [level[k].astype("<f8" if k in ("radius", "gap") else "<i8").tobytes() for level in self.levels for k in self._ARRAYS]
+        return b"".join([head.tobytes(), *parts, self.members.astype("<i8").tobytes()])
+
+    @classmethod
+    def unpacked(cls, x: np.ndarray, data: bytes) -> CoverTree:
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        sizes, at, levels = np.frombuffer(data, "<i8", n, 8).tolist(), 8 + 8 * n, []
+        for depth, size in enumerate(sizes):
+            level = {}
+            for k in cls._ARRAYS:
+                length = (size + 1 if depth + 1 < n else 0) if k == "first" else size
+                level[k] = np.frombuffer(data, "<f8" if k in ("radius", "gap") else "<i8", length, at)
+                at += 8 * length
+            levels.append(level)
+        return cls(x, levels, np.frombuffer(data, "<i8", len(x), at))
+
+
+def _descend(a: CoverTree, b: CoverTree, depth: int, i: np.ndarray, j: np.ndarray, dots: np.ndarray, limit: float, same: bool, tally: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of children of the node pairs (i, j) that may hold a link, with their centres' products. Pairs whose parents' distance and gaps rule a link out aren't compared, nor are centres that the parents have."""
+    pa_, pb, na, nb = a.levels[depth], b.levels[depth], a.levels[depth + 1], b.levels[depth + 1]
+    ni, nj = pa_["first"][i + 1] - pa_["first"][i], pb["first"][j + 1] - pb["first"][j]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # Many children on both sides: one product of their centres.
+    wide = (ni * nj >= WIDE) & (np.minimum(ni, nj) > 1)
+    for k in np.flatnonzero(wide).tolist():
+        lo, lo2 = int(pa_["first"][i[k]]), int(pb["first"][j[k]])
+        block = na["x"][lo : lo + ni[k]] @ nb["x"][lo2 : lo2 + nj[k]].T
+        tally["distances"] = tally.get("distances", 0) + block.size
+        far = limit + SLACK + na["radius"][lo : lo + ni[k], None] + nb["radius"][None, lo2 : lo2 + nj[k]]
+        live = 2 - 2 * block <= far * far
+        if same and i[k] == j[k]:
+            live = np.triu(live)
+            np.fill_diagonal(live, True)
+        p, q = np.nonzero(live)
+        found.append((p + lo, q + lo2, block[p, q]))
+    i, j, dots, ni, nj = (x[~wide] for x in (i, j, dots, ni, nj))
+    ends = np.cumsum(ni * nj)
+    begins = ends - ni * nj
+    for s in range(0, int(ends[-1]) if len(ends) else 0, SLICE):
+        place = np.arange(s, min(s + SLICE, int(ends[-1])))
+        at = np.searchsorted(ends, place, "right")
+        inner = place - begins[at]
+        p, q = pa_["first"][i[at]] + inner // nj[at], pb["first"][j[at]] + inner % nj[at]
+        reach = limit + SLACK + na["radius"][p] + nb["radius"][q]
+        go = np.sqrt(np.maximum(0, 2 - 2 * dots[at])) - na["gap"][p] - nb["gap"][q] <= reach + SLACK
+        if same:
+            go &= (i[at] != j[at]) | (p <= q)
+        at, p, q, reach = at[go], p[go], q[go], reach[go]
+        known = (na["centre"][p] == pa_["centre"][i[at]]) & (nb["centre"][q] == pb["centre"][j[at]])
+        made = dots[at]
+        new = np.flatnonzero(~known)
+        made[new] = np.einsum("kd,kd->k", na["x"][p[new]], nb["x"][q[new]])
+        tally["distances"] = tally.get("distances", 0) + len(new)
+        live = (2 - 2 * made <= reach * reach) | (same & (p == q))
+        found.append((p[live], q[live], made[live]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, cosine: float, same: bool, tally: dict | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(weight linked with each vector of a, the same for b, spanning links (i of a, j of b)); same: a and b are one tree, and each vector's own weight isn't counted. tally gets the number of distances."""
+    limit, tally = math.sqrt(2 - 2 * cosine), {} if tally is None else tally
     la, lb = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64)
     wa_in, wb_in = wa[a.members], wb[b.members]
     sa, sb = np.append(0, np.cumsum(wa_in)), np.append(0, np.cumsum(wb_in))
@@ -105,22 +178,23 @@ def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, c
             links.append((i, j))
 
     i, j = np.array([0]), np.array([0])
+    dots = np.array([1.0]) if same else (a.levels[0]["x"] * b.levels[0]["x"]).sum(axis=1)
     for depth, (na, nb) in enumerate(zip(a.levels, b.levels, strict=True)):
-        last = depth == len(a.levels) - 1
-        dots = a.x[na["centre"]] @ b.x[nb["centre"]].T
-        if last:
+        if depth:
+            i, j, dots = _descend(a, b, depth - 1, i, j, dots, limit, same, tally)
+        if depth == len(a.levels) - 1:
             if same:
-                i, j = i[i != j], j[i != j]
-            hit = dots[i, j] >= cosine
+                i, j, dots = (x[i != j] for x in (i, j, dots))
+            hit = dots >= cosine
             for p, q in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
                 join(int(na["centre"][p]), int(nb["centre"][q]))
             np.add.at(la, na["centre"][i[hit]], wb[nb["centre"][j[hit]]])
             np.add.at(lb, nb["centre"][j[hit]], wa[na["centre"][i[hit]]])
             break
-        d = np.sqrt(np.maximum(0, 2 - 2 * dots[i, j]))
-        reach = na["radius"][i] + nb["radius"][j]
+        d = np.sqrt(np.maximum(0, 2 - 2 * dots))
         if same:
             d[i == j] = 0
+        reach = na["radius"][i] + nb["radius"][j]
         live = d - reach <= limit + SLACK
         all_linked = live & (d + reach <= limit - SLACK)
         for p, q in zip(i[all_linked].tolist(), j[all_linked].tolist(), strict=True):
@@ -141,23 +215,14 @@ def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, c
                 if not own:
                     join(y, second)
         go = live & ~all_linked
-        i, j = i[go], j[go]
-        ni, nj = na["first"][i + 1] - na["first"][i], nb["first"][j + 1] - nb["first"][j]
-        size = ni * nj
-        at = np.repeat(np.arange(len(i)), size)
-        inner = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-        parent_same = (i == j)[at] if same else None
-        i, j = na["first"][i][at] + inner // nj[at], nb["first"][j][at] + inner % nj[at]
-        if same:
-            keep = ~parent_same | (i <= j)
-            i, j = i[keep], j[keep]
+        i, j, dots = i[go], j[go], dots[go]
     la[a.members] += np.cumsum(ca[:-1])
     lb[b.members] += np.cumsum(cb[:-1])
     return la, lb, links
 
 
-_BLOCK = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("block", pa.int64()), ("radius", pa.float64()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary())])
-_BLOCK_SQL = "label string, dim int, cell int, block long, radius double, ids binary, weights binary, vectors binary"
+_BLOCK = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("block", pa.int64()), ("near", pa.float64()), ("far", pa.float64()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("tree", pa.binary())])
+_BLOCK_SQL = "label string, dim int, cell int, block long, near double, far double, ids binary, weights binary, vectors binary, tree binary"
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
@@ -167,8 +232,7 @@ def usable(column: str) -> F.Column:
 
 def threshold_links(vectors: DataFrame, cosine: float) -> DataFrame:
     """vectors(uid, label string, v array<double or float>, w), distinct and usable -> (a, b, links): rows (a, null, n) add n to the links of a; rows (a, b, null) are spanning links."""
-    spark = vectors.sparkSession
-    total = vectors.count()
+    total, limit = vectors.count(), math.sqrt(2 - 2 * cosine)
     pivots: list[tuple[str, int, np.ndarray]] = []  # label, dimension, unit vector; the number is the cell's
 
     def draw(rows: DataFrame, most: int, level: int) -> dict[tuple, list[int]]:
@@ -213,42 +277,58 @@ def threshold_links(vectors: DataFrame, cosine: float) -> DataFrame:
         if not more:
             break
         placed = cut(placed.where(~inside).union(routed(placed.where(inside), {key: [key[2], *ks] for key, ks in more.items()})))
-    cells = cut(placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"), F.max("far").alias("far")))
+    cells = cut(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"), F.max("far").alias("ball")))
+    # Vectors of a large cell are dealt into rings around the pivot, and those of a ring into blocks.
+    ringed = placed.join(cells.select(*cell, "rows"), cell).withColumn("ring", F.when(F.col("rows") > BLOCK_ROWS, F.floor(F.col("far") / (limit / 2))).otherwise(F.lit(0)).cast("int"))
+    rings = cut(ringed.groupBy(*cell, "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")))
 
     def build(key: tuple, data: pa.Table) -> pa.Table:
         v = np.array(data.column("v").to_pylist(), np.float64)
-        row = (*(k.as_py() for k in key), float(max(data.column("far").to_pylist())), data.column("uid").to_numpy().tobytes(), data.column("w").to_numpy().tobytes(), v.astype("<f8").tobytes())
+        far = data.column("far").to_numpy()
+        label, dim, number, ring, block = (k.as_py() for k in key)
+        row = (label, dim, number, ring << 32 | block, float(far.min()), float(far.max()), data.column("uid").to_numpy().tobytes(), data.column("w").to_numpy().tobytes(), v.astype("<f8").tobytes(), CoverTree.grown(unit(v)).packed())
         return pa.Table.from_batches([from_rows([row], _BLOCK)])
 
-    blocks = placed.join(cells.select(*cell, "blocks"), cell).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
-    blocks = cut(blocks.groupBy(*cell, "block").applyInArrow(build, _BLOCK_SQL))
-    # Cells under pivots: a bounded number of them, whose balls the driver compares. Other cells stand alone.
-    limit = math.sqrt(2 - 2 * cosine)
-    near = []
-    balls = {r["cell"]: r["far"] for r in cells.where("cell >= 0").limit(PIVOTS * LEVELS).collect()}
+    blocks = ringed.join(rings, [*cell, "ring"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
+    blocks = cut(blocks.select(*cell, "ring", "block", "uid", "w", "v", "far").groupBy(*cell, "ring", "block").applyInArrow(build, _BLOCK_SQL))
+    # Cells under pivots: no more than there are pivots, PIVOTS * LEVELS. Other cells stand alone.
+    balls = {r["cell"]: r["ball"] for r in cells.where("cell >= 0").limit(PIVOTS * LEVELS).collect()}
     groups: dict[tuple[str, int], list[int]] = {}
     for k in sorted(balls):
         groups.setdefault(pivots[k][:2], []).append(k)
-    for key, ks in groups.items():
-        centres, radius = np.array([pivots[k][2] for k in ks]), np.array([balls[k] for k in ks])
-        touch = distances(centres, centres) <= radius[:, None] + radius[None, :] + limit + SLACK
-        np.fill_diagonal(touch, True)
-        near += [(*key, ks[x], ks[y]) for x, y in zip(*(a.tolist() for a in np.nonzero(np.triu(touch))), strict=True)]
-    close = spark.createDataFrame(near, "label string, dim int, cell int, cell2 int") if near else None
-    alone = cells.where("cell < 0").select(*cell, F.col("cell").alias("cell2"))
-    close = alone if close is None else close.union(alone)
-    meta = blocks.select(*cell, "block")
-    pairs = meta.join(close, cell).join(meta.select("label", "dim", F.col("cell").alias("cell2"), F.col("block").alias("block2")), ["label", "dim", "cell2"]).where("cell < cell2 or block <= block2")
+    centres = {key: (np.array([pivots[k][2] for k in ks]), np.array([balls[k] for k in ks]), np.array(ks)) for key, ks in groups.items()}
+
+    def touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each cell those from itself on whose balls come near its own, and how far their pivots are."""
+        for batch in batches:
+            rows = []
+            for label, dim, k in zip(*(batch.column(c).to_pylist() for c in cell), strict=True):
+                c, radius, ks = centres[label, dim]
+                at = int(np.searchsorted(ks, k))
+                gap = distances(c[at : at + 1], c[at:])[0]
+                gap[0] = 0
+                near = np.flatnonzero(gap <= radius[at] + radius[at:] + limit + SLACK)
+                rows += [(label, dim, k, k2, g) for k2, g in zip(ks[at:][near].tolist(), gap[near].tolist(), strict=True)]
+            yield from_rows(rows, pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("cell2", pa.int32()), ("gap", pa.float64())]))
+
+    close = cells.where("cell >= 0").select(*cell).mapInArrow(touching, "label string, dim int, cell int, cell2 int, gap double")
+    close = close.union(cells.where("cell < 0").select(*cell, F.col("cell").alias("cell2"), F.lit(0.0)))
+    meta = blocks.select(*cell, "block", "near", "far")
+    other = meta.select("label", "dim", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("near").alias("near2"), F.col("far").alias("far2"))
+    pairs = meta.join(close, cell).join(other, ["label", "dim", "cell2"]).where("cell < cell2 or block <= block2")
+    # Every vector of a block is between near and far from its pivot, and by gap less or more from the other's.
+    slack = F.lit(limit + SLACK)
+    pairs = pairs.where((F.col("cell") < 0) | (F.col("gap") - F.col("far") - F.col("far2") <= slack) & (F.col("near") - F.col("gap") - F.col("far2") <= slack) & (F.col("near2") - F.col("gap") - F.col("far") <= slack))
     pairs = cut(pairs.withColumn("pair", F.monotonically_increasing_id()))
     one = pairs.select("pair", *cell, "block", F.lit(0).alias("side"))
     two = pairs.where("cell <> cell2 or block <> block2").select("pair", "label", "dim", F.col("cell2").alias("cell"), F.col("block2").alias("block"), F.lit(1).alias("side"))
-    loaded = one.union(two).join(blocks, [*cell, "block"]).select("pair", "side", "dim", "ids", "weights", "vectors")
+    loaded = one.union(two).join(blocks, [*cell, "block"]).select("pair", "side", "dim", "ids", "weights", "vectors", "tree")
 
     def compare(data: pa.Table) -> pa.Table:
         sides = []
         for r in sorted(data.to_pylist(), key=lambda r: r["side"]):
             x = unit(np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"]))
-            sides.append((CoverTree(x), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["weights"], "<i8")))
+            sides.append((CoverTree.unpacked(x, r["tree"]), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["weights"], "<i8")))
         (a, ia, wa), (b, ib, wb) = sides[0], sides[-1]
         la, lb, links = dual_traversal(a, b, wa, wb, cosine, len(sides) == 1)
         rows = [(int(ia[i]), int(ib[j]), None) for i, j in links]

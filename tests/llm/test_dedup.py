@@ -169,10 +169,42 @@ def test_cover_tree_traversal():
         x, y = (cover_tree_dedup.unit(base[rng.integers(0, 5, n)] + rng.normal(size=(n, 4)) * rng.choice([0.01, 0.1, 0.3])) for n in rng.integers(1, 60, 2))
         wx, wy = rng.integers(1, 4, len(x)), rng.integers(1, 4, len(y))
         linked = x @ y.T >= 0.98
-        a, b, _ = cover_tree_dedup.dual_traversal(cover_tree_dedup.CoverTree(x), cover_tree_dedup.CoverTree(y), wx, wy, 0.98, False)
+        a, b, _ = cover_tree_dedup.dual_traversal(cover_tree_dedup.CoverTree.grown(x), cover_tree_dedup.CoverTree.grown(y), wx, wy, 0.98, False)
         assert (a == linked @ wy).all() and (b == linked.T @ wx).all()
 
 
+def clustered(rng, n, size=40):
+    """n unit vectors in clusters of about `size`, with a radius of about 0.06."""
+    base = rng.normal(size=(max(1, n // size), 16))
+    return cover_tree_dedup.unit(base[rng.integers(0, len(base), n)] + rng.normal(size=(n, 16)) * 0.05)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_traversal_compares_few_of_clustered_vectors(same):
+    rng = np.random.default_rng(7)
+    shares = []
+    for n in (400, 1600):
+        both = clustered(rng, n if same else 2 * n)
+        x, y = (both, both) if same else (both[:n], both[n:])
+        t = cover_tree_dedup.CoverTree.grown(x)
+        t = cover_tree_dedup.CoverTree.unpacked(x, t.packed())
+        u = t if same else cover_tree_dedup.CoverTree.grown(y)
+        tally: dict = {}
+        one, other = np.ones(len(x), np.int64), np.ones(len(y), np.int64)
+        a, b, links = cover_tree_dedup.dual_traversal(t, u, one, other, 0.98, same, tally)
+        linked = x @ y.T >= 0.98
+        if same:
+            np.fill_diagonal(linked, False)
+            assert (a + b == linked.sum(axis=1)).all()
+        else:
+            assert (a == linked.sum(axis=1)).all() and (b == linked.sum(axis=0)).all()
+        offset = 0 if same else n
+        edges = [(i, j + offset) for i, j in zip(*(z.tolist() for z in np.nonzero(linked)), strict=True)]
+        assert groups(range(n + offset), [(i, j + offset) for i, j in links]) == groups(range(n + offset), edges)
+        shares.append(tally["distances"] / (n * n))
+    assert shares[1] < 0.06 and shares[1] < 0.6 * shares[0]
+
+
 @pytest.mark.parametrize("split", [65_536, 20])
 def test_cover_tree(spark, monkeypatch, split):
     monkeypatch.setattr(cover_tree_dedup, "BLOCK_ROWS", 16)

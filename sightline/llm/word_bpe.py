@@ -2,14 +2,14 @@
 
 1. Texts are exploded into pre-tokens. A chunk of texts (CHUNK_BYTES of one task) keeps, for each document, the numbers of its pre-tokens in
    their order, counted in the chunk's own sorted list of distinct pre-tokens; that list goes to buckets by the pre-token's hash.
-2. A bucket holds all that is equal: it merges the lists of all chunks, encodes each distinct pre-token once, and gives each chunk the ids of its
-   pre-tokens, in the order of the chunk's list.
-3. A chunk's task joins the ids back and puts each document together by position.
+2. A bucket gets all that is equal: the lists of all chunks go through its task one after another, each distinct pre-token is encoded when it comes first, and each chunk gets the ids of its
+   pre-tokens, in the order of the chunk's list. A task holds at most WORDS_HELD pre-tokens and starts anew beyond them.
+3. A chunk's task joins the ids back and puts each document together by position. Chunks are dealt evenly, by their numbers.
 Decoding joins the table of token bytes to the ids, in order.
 
 Between the steps goes one compressed record for a (chunk, bucket) pair in place of a row for each occurrence: a word that stands in a third of all positions
-is one entry of each chunk. Buckets are as many as shuffle partitions and hold distinct words only; chunks are bounded by bytes. A single
-document of any length is one chunk.
+is one entry of each chunk. Chunks are bounded by bytes. Buckets are as many as shuffle partitions, MOST_BUCKETS at most: with more of both, the records, one for each chunk and bucket,
+would grow with the square of the corpus. A single document of any length is one chunk.
 
 Edge cases: a null or empty text has no ids, and its digests are those of no bytes. Equal or null doc_ids are encoded each. An empty table gives an empty result.
 """
@@ -36,6 +36,9 @@ BITE_BYTES = 160_000
 RECORD = "kind int, chunk long, bucket int, payload binary"
 _RECORD = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 DOCUMENT, WORDS, IDS = 0, 1, 2
+MOST_BUCKETS = 4096
+#: Pre-tokens with their ids that a bucket's task holds: about 200 MB.
+WORDS_HELD = 700_000
 
 
 @lru_cache(2)
@@ -170,20 +173,23 @@ def _words(payload: bytes) -> list[bytes]:
 def encode_buckets(records: DataFrame, path: str) -> DataFrame:
     """RECORDs of pre-tokens -> RECORDs of their ids; each distinct pre-token of a bucket is encoded once."""
 
-    def run(key: tuple, data: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path).encode_ordinary
         known: dict[bytes, list[int]] = {}
-        rows = []
-        for chunk, payload in zip(data.column("chunk").to_pylist(), data.column("payload").to_pylist(), strict=True):
-            found = []
-            for w in _words(payload):
-                ids = known.get(w)
-                if ids is None:
-                    known[w] = ids = encode(w.decode())
-                found.append(ids)
-            sizes = np.fromiter(map(len, found), np.uint32, len(found))
-            rows.append((IDS, chunk, key[0].as_py(), _pack(sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())))))
-        return pa.Table.from_batches([from_rows(rows, _RECORD)])
+        for batch in batches:
+            rows = []
+            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                found = []
+                for w in _words(payload):
+                    ids = known.get(w)
+                    if ids is None:
+                        known[w] = ids = encode(w.decode())
+                    found.append(ids)
+                sizes = np.fromiter(map(len, found), np.uint32, len(found))
+                rows.append((IDS, chunk, key[0].as_py(), _pack(sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())))))
+                if len(known) > WORDS_HELD:
+                    known.clear()
+            yield from_rows(rows, _RECORD)
 
     return records.groupBy("bucket").applyInArrow(run, RECORD)
 
@@ -191,9 +197,9 @@ def encode_buckets(records: DataFrame, path: str) -> DataFrame:
 def assemble(records: DataFrame, buckets: int, make: Callable[[np.ndarray], tuple], schema: str, arrow: pa.Schema) -> DataFrame:
     """For each document a row (doc_id, *make(ids)); records: the documents and the ids of all chunks."""
 
-    def run(key: tuple, data: pa.Table) -> pa.Table:
+    def joined(rows: list[tuple]) -> pa.RecordBatch:
         ids, docs = {}, None
-        for kind, bucket, payload in zip(*(data.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True):
+        for kind, bucket, payload in rows:
             if kind == IDS:
                 ids[bucket] = _unpack(payload, "<u4", "<u4")
             else:
@@ -210,17 +216,31 @@ def assemble(records: DataFrame, buckets: int, make: Callable[[np.ndarray], tupl
         pool = np.concatenate([p[1] for p in ids.values()]) if ids else np.zeros(0, np.uint32)
         size, start = size.ravel(), start.ravel()
         doc_ids, nulls, counts, codes = docs
-        rows, ends = [], np.cumsum(counts, dtype=np.int64)
+        out, ends = [], np.cumsum(counts, dtype=np.int64)
         for doc, null, a, b in zip(doc_ids.tolist(), nulls.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
             own = codes[a:b]
-            rows.append((None if null else doc, *make(gather(pool, start[own], size[own])[0])))
-        return pa.Table.from_batches([from_rows(rows, arrow)])
+            out.append((None if null else doc, *make(gather(pool, start[own], size[own])[0])))
+        return from_rows(out, arrow)
 
-    return records.groupBy("chunk").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, rows = None, []
+        for batch in batches:
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "bucket", "payload")), strict=True):
+                if k != chunk and rows:
+                    yield joined(rows)
+                    rows = []
+                chunk = k
+                rows.append(row)
+        if rows:
+            yield joined(rows)
+
+    n = partitions(records.sparkSession)
+    place = F.pmod(F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF)) * 7, F.lit(n)).cast("int")
+    return records.repartitionById(n, place).sortWithinPartitions("chunk").mapInArrow(run, schema)
 
 
 def _prepared(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
-    buckets = partitions(docs.sparkSession)
+    buckets = min(partitions(docs.sparkSession), MOST_BUCKETS)
     records = cut(explode(docs, buckets))
     return records.where(F.col("kind") == DOCUMENT).union(encode_buckets(records.where(F.col("kind") == WORDS), path)), buckets
 

@@ -82,7 +82,9 @@ def test_bpe(docs, rows, empty, monkeypatch):
     assert word_bpe.digests(empty, MULTI).count() == 0
 
 
-def test_bpe_in_several_chunks(docs, rows, monkeypatch):
+@pytest.mark.parametrize("held", [700_000, 20])
+def test_bpe_in_several_chunks(docs, rows, monkeypatch, held):
+    monkeypatch.setattr(word_bpe, "WORDS_HELD", held)
     records = word_bpe.explode(docs.coalesce(1), 5, chunk_bytes=3000)
     assert records.select("chunk").distinct().count() > 1
     both = records.where("kind = 0").union(word_bpe.encode_buckets(records.where("kind = 1"), PLAIN))

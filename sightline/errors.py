@@ -1,76 +1,80 @@
 """Exceptions of the public interface."""
 
 
-class InvalidAttr(Exception):
+class Error(Exception):
+    """Any of them."""
+
+
+class InvalidAttr(Error):
     """A column that the relation doesn't have."""
 
 
-class InvalidObject(Exception):
+class InvalidObject(Error):
     """An object without a usable type."""
 
 
-class StixPatternError(Exception):
+class StixPatternError(Error):
     """A pattern that can't be parsed or translated."""
 
 
-class InvalidViewname(Exception):
+class InvalidViewname(Error):
     """A name that isn't an identifier."""
 
 
-class InvalidStixPath(Exception):
+class InvalidStixPath(Error):
     """A path that isn't an object path or property name."""
 
 
-class IncompatibleType(Exception):
+class IncompatibleType(Error):
     """Views of different object types."""
 
 
-class UnknownViewname(Exception):
+class UnknownViewname(Error):
     """No view or table of that name."""
 
 
-class DuplicateTable(Exception):
+class DuplicateTable(Error):
     """A table of that name exists."""
 
 
-class UnexpectedError(Exception):
+class UnexpectedError(Error):
     """Anything the engine below reports that has no class of its own."""
 
 
-class DatabaseMismatch(Exception):
+class DatabaseMismatch(Error):
     """A stored session of another version."""
 
     def __init__(self, found: str, expected: str):
         super().__init__(f"found version {found}, expected {expected}")
 
 
-class SessionNotFound(Exception):
+class SessionNotFound(Error):
     """No session of that name to attach to."""
 
 
-class SessionExists(Exception):
+class SessionExists(Error):
     """A session of that name exists."""
 
 
-class InvalidComparisonOperator(Exception):
+class InvalidComparisonOperator(Error):
     """Not one of the comparison operators, or not with that operand."""
 
 
-class InvalidPredicateOperator(Exception):
+class InvalidPredicateOperator(Error):
     """Not AND or OR."""
 
 
-class InvalidPredicateOperand(Exception):
+class InvalidPredicateOperand(Error):
     """AND and OR take predicates."""
 
 
-class InvalidJoinOperator(Exception):
+class InvalidJoinOperator(Error):
     """Not a kind of join."""
 
 
-class InvalidAggregateFunction(Exception):
+class InvalidAggregateFunction(Error):
     """Not an aggregate function."""
 
 
-class InvalidQuery(Exception):
+class InvalidQuery(Error):
     """Stages that don't make a query."""

@@ -19,19 +19,19 @@ IGNORED = {"x-oca-asset": ("parent_process_ref",)}
 def path_joins(view: str, sco_type: str, path: str) -> tuple[list[Join], str, str]:
     """Joins that bring a path's end to the rows of a view, the relation that has it, and its column there.
 
-    A reference becomes a left join named by the reference without its ending, a list of references an inner join over the edge table, by its name."""
+    A reference becomes a left join named by the reference without its ending (behind the names of those before it), a list of references an inner join over the edge table, by its name."""
     links = parse_path(path) if ":" in path else parse_prop(sco_type, path)
     if not links:
         raise InvalidAttr(path)
     joins, here, parts = [], view, []
-    for n, link in enumerate(links):
+    for link in links:
         if link[0] == "node":
             parts.append(link[2])
             continue
         _, _, name, target = link
-        alias = name.rpartition("_")[0]
+        alias = name.rpartition("_")[0] if here == view else f"{here}__{name.rpartition('_')[0]}"
         if name.endswith("_refs"):
-            edge = f"r{n}" if n else "r"
+            edge = f"{alias}__r"
             joins.append(Join("__reflist", "id", "=", "source_ref", lhs=here, alias=edge, preds=[Predicate(Column("ref_name", edge), "=", name)]))
             joins.append(Join(target, "target_ref", "=", "id", lhs=edge, alias=alias))
         else:

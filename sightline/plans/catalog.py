@@ -33,7 +33,7 @@ from ..operators.query import (
     Table,
     Unique,
 )
-from ..plans import bundle_tools, upsert
+from ..plans import bundle_tools, session_catalog, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -363,11 +363,11 @@ def dedup_ids(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | session_catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | session_catalog.SQL
 
 
 __all__ = ["oracle_sql", "queries"]

@@ -388,7 +388,7 @@ class Store:
     def group(self, view: str, source: str, by: object, aggs: list[tuple] | None = None) -> None:
         """A view's rows by columns, paths or bins, with aggregations, or every other column summed up by its name and type."""
         have = self.columns(source)
-        query, keys, joined, bins = Query(source), [], set(), []
+        query, keys, bins = Query(source), [], []
         for col in by if isinstance(by, list) else [by]:
             if isinstance(col, BinnedColumn):
                 keys.append(col)
@@ -397,9 +397,7 @@ class Store:
                 keys.append(Column(col, source))
             else:
                 joins, table, name = self._path(source, col)
-                if table not in joined:
-                    query.extend(joins)
-                    joined.add(table)
+                _join_new(query, joins)
                 keys.append(Column(name, table, col))
         if aggs is None:
             kind = self.table_type(source) or source
@@ -413,9 +411,7 @@ class Store:
             for func, col, *alias in aggs:
                 if col not in (None, "*") and col not in have:
                     joins, table, name = self._path(source, col)
-                    if table not in joined:
-                        query.extend(joins)
-                        joined.add(table)
+                    _join_new(query, joins)
                     col = name
                 parts.append((func, col, *alias))
             query.append(Group(keys))
@@ -456,7 +452,7 @@ class Store:
         else:
             paths = cols.replace(" ", "").split(",") if isinstance(cols, str) else list(cols)
             query = Query(view)
-            picked, joined = [], set()
+            picked = []
             for p in paths:
                 if p == "type":
                     continue
@@ -468,9 +464,7 @@ class Store:
                 except Exception as e:
                     raise InvalidAttr(p) from e
                 joins, table, name = self._path(view, p)
-                if table not in joined:
-                    query.extend(joins)
-                    joined.add(table)
+                _join_new(query, joins)
                 picked.append(Column(name, table, p))
             shown = query.append(Projection(picked)).to_df(lambda n: df if n == view else self.relation(n))
             paths_kept = [p for p in paths if p != "type"]
@@ -547,7 +541,6 @@ class Store:
         listed = [] if paths is None else [paths] if isinstance(paths, str) else list(paths)
         query, table, column = self._observed(view, listed[0] if listed else None)
         shown = [Column(a, "observed-data", "observation_id" if a == "id" else a) for a in attributes]
-        joined = {table}
         for n, p in enumerate(listed):
             p = p.rpartition(":")[2]
             if n == 0:
@@ -556,9 +549,7 @@ class Store:
                 shown.append(Column(p, view))
             else:
                 joins, t, c = self._path(view, p)
-                if t not in joined:
-                    query.extend(joins)
-                    joined.add(t)
+                _join_new(query, joins)
                 shown.append(Column(c, t, p))
         if not listed:
             shown += [Column(c, view) for c in self.columns(view) if c not in attributes]
@@ -656,6 +647,12 @@ class _Stored:
         return store.stored(self.name)
 
 
+def _join_new(query: Query, joins: list[Join]) -> None:
+    """Adds the joins of a path that the query doesn't have from a path with the same beginning."""
+    have = {j.alias or j.name for j in query.joins}
+    query.extend([j for j in joins if (j.alias or j.name) not in have])
+
+
 def _view_name(name: str) -> str:
     return f"`{name}`" if not name.isidentifier() else name
 

@@ -6,9 +6,8 @@ reading what they were made of. Views are definitions that look names up when th
 
 from __future__ import annotations
 
-import base64
 import json
-import pickle
+import re
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
@@ -24,7 +23,7 @@ from ..operators.paths import dereference, path_joins, unresolve
 from ..operators.pattern import Compiler
 from ..operators.query import Aggregation, BinnedColumn, Column, Filter, Group, Join, Limit, Order, Predicate, Projection, Query, Table
 from ..sources import bundles
-from . import upsert
+from . import codec, upsert
 
 VERSION = "2.2"
 PRIVATE = ("__contains", "__reflist", "__queries")
@@ -32,6 +31,7 @@ EDGE = ("ref_name", "source_ref", "target_ref", "sco_id", "query_id")
 DELTAS = 6
 
 
+@codec.known
 @dataclass
 class Extract:
     """Rows of a type that came with a query and satisfy a pattern."""
@@ -49,6 +49,7 @@ class Extract:
         return store.matching(df, self.sco_type, self.pattern)
 
 
+@codec.known
 @dataclass
 class Filtered:
     source: object
@@ -59,6 +60,7 @@ class Filtered:
         return store.matching(self.source.build(store), self.sco_type, self.pattern)
 
 
+@codec.known
 @dataclass
 class Joined:
     left: object
@@ -76,6 +78,7 @@ class Joined:
         return both.select(*left, *[F.col(quoted("b", c)) for c in b.columns if c not in a.columns])
 
 
+@codec.known
 @dataclass
 class Merged:
     sources: list
@@ -87,6 +90,7 @@ class Merged:
         return out.distinct()
 
 
+@codec.known
 @dataclass
 class Named:
     """Whatever the name stands for when it is used."""
@@ -97,6 +101,7 @@ class Named:
         return store.relation(self.name)
 
 
+@codec.known
 @dataclass
 class Queried:
     query: Query
@@ -106,6 +111,7 @@ class Queried:
         return self.query.to_df(lambda name: self.inlined[name].build(store) if name in self.inlined else store.relation(name))
 
 
+@codec.known
 @dataclass
 class View:
     sco_type: str | None
@@ -123,6 +129,7 @@ class Store:
         self.versions: dict[str, list[str]] = {}
         self.views: dict[str, View] = {}
         self.paths: dict[str, dict[str, str]] = {}
+        self.number = 0
         found = self._load()
         if attach and not found:
             raise SessionNotFound(session_id)
@@ -140,28 +147,38 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _catalogs(self) -> list[tuple[int, str]]:
+        """(number, path) of the catalogs in the folder, oldest first. A catalog has its name only when it is whole."""
+        fs, folder = self._fs(self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted((int(m[1]), f"{self.folder}/{n}") for n in names if (m := re.fullmatch(r"catalog\.(\d+)\.json", n)))
+
     def _load(self) -> bool:
-        fs, path = self._fs(f"{self.folder}/catalog.json")
-        if not fs.exists(path):
+        found = self._catalogs()
+        if not found:
             return False
-        state = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/catalog.json").collect()))
+        self.number, path = found[-1]
+        state = json.loads("\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
         if state["version"] != VERSION:
             raise DatabaseMismatch(state["version"], VERSION)
         self.versions, self.paths = state["tables"], state["paths"]
-        self.views = pickle.loads(base64.b64decode(state["views"]))
+        self.views = codec.decode(state["views"])
         return True
 
     def _save(self) -> None:
-        """Writes the catalog beside the old one, then puts it in its place."""
-        state = json.dumps({"version": VERSION, "tables": self.versions, "paths": self.paths, "views": base64.b64encode(pickle.dumps(self.views)).decode()})
-        fs, path = self._fs(f"{self.folder}/catalog.json")
-        _, new = self._fs(f"{self.folder}/catalog.{uuid.uuid4().hex}")
-        out = fs.create(new, True)
+        """Writes the next catalog under another name, then names it; the one before stays until then. Names are given once, so a second writer fails."""
+        state = json.dumps({"version": VERSION, "tables": self.versions, "paths": self.paths, "views": codec.encode(self.views)})
+        fs, path = self._fs(f"{self.folder}/catalog.{self.number + 1:09d}.json")
+        _, new = self._fs(f"{self.folder}/new.{uuid.uuid4().hex}")
+        out = fs.create(new, False)
         out.write(bytearray(state.encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(new, path)
+        if fs.exists(path) or not fs.rename(new, path):
+            raise SessionExists(f"{self.session_id}: another writer has changed it")
+        self.number += 1
+        for number, old in self._catalogs():
+            if number < self.number - 1:
+                fs.delete(self._fs(old)[1], False)
 
     def _write(self, name: str, df: DataFrame) -> str:
         where = f"{self.folder}/tables/{name}/{uuid.uuid4().hex}"
@@ -636,9 +653,10 @@ class Store:
         """Drops the session with all that it holds."""
         fs, path = self._fs(self.folder)
         fs.delete(path, True)
-        self.views, self.versions, self.paths = {}, {}, {}
+        self.views, self.versions, self.paths, self.number = {}, {}, {}, 0
 
 
+@codec.known
 @dataclass
 class _Stored:
     name: str

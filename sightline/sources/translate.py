@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,13 +98,12 @@ def transformed(value: SparkColumn, dtype: T.DataType, name: str, transformers:
         return value
     change = transformers[name].transform
 
-    def safe(v):
-        if v is None:
-            return None
-        out = change(v)
-        return out if out is None or isinstance(out, str) else json.dumps(out)
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:  # a user's own function of one value, on Arrow batches
+        made = (v if v is None else change(v) for v in values.to_pylist())
+        return pa.array([v if v is None or isinstance(v, str) else json.dumps(v) for v in made], pa.string())
 
-    return F.udf(safe, "string")(value)  # a user's own function of one value
+    return run(value)
 
 
 class _Plan:

@@ -27,8 +27,8 @@ c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""
 
-#: All 400-byte strings, as hexadecimal digits.
-OP10 = """
+#: All 400-byte strings, as hexadecimal digits; all runs of 51 words without the signs at their ends, for the words in passages.
+OP10 = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
 w AS (SELECT doc_id, s, md5(substr(x, CAST(2 * s + 1 AS BIGINT), 800)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS s FROM d WHERE n >= 400)),
 t AS (SELECT doc_id, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
@@ -36,6 +36,10 @@ i AS (SELECT doc_id, s, sum(CASE WHEN s <= before + 400 THEN 0 ELSE 1 END) OVER
 r AS (SELECT doc_id, k, min(s) AS a, max(s) + 400 AS b FROM i GROUP BY 1, 2),
 g AS (SELECT doc_id, k, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY k), 1000000000000) AS b FROM r UNION ALL SELECT doc_id, 0, 0, min(a) FROM r GROUP BY 1),
 k AS (SELECT g.doc_id, string_agg(substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (least(b, n) - a) AS BIGINT)), '' ORDER BY a) AS x FROM g JOIN d USING (doc_id) GROUP BY 1),
-q AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY 1)
-SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(q.removed, 0) AS BIGINT) AS n_removed, coalesce(q.spans, 0) AS n_spans, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
-FROM d LEFT JOIN q USING (doc_id) LEFT JOIN k USING (doc_id)"""
+q AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY 1),
+pw AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: coalesce(nullif(regexp_replace(x, '^[\x00-\x2f:-@\[-`{-\x7f]+|[\x00-\x2f:-@\[-`{-\x7f]+$', '', 'g'), ''), x)) AS w FROM documents),
+ps AS (SELECT doc_id, s, md5(array_to_string(w[s + 1:s + 51], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 50)) AS s FROM pw WHERE len(w) > 50)),
+pt AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s), 51) AS gap FROM ps WHERE h IN (SELECT h FROM ps GROUP BY h HAVING count(*) > 1)),
+pq AS (SELECT doc_id, sum(least(gap, 51)) AS n FROM pt GROUP BY 1)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(q.removed, 0) AS BIGINT) AS n_removed, coalesce(q.spans, 0) AS n_spans, CAST(coalesce(pq.n, 0) AS BIGINT) AS n_passage_words, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN pq USING (doc_id)"""

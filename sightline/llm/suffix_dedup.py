@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..names import quoted
 from .lsh_forest import _SPACES, _slabs
 from .pretokens import mix, span_hashes, window_hashes
 from .runtime import bites, cut, ddl, partitions, texts, with_columns
@@ -383,35 +384,45 @@ def _in_bytes(raw: bytes, ranges: list[dict], rules: tuple[Rule, ...]) -> list[d
 
 
 def _cleared(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[str]]:
-    """docs(doc_id, text, ...) with __ranges: the repeated ranges of its text (rule, begin, end), or null."""
-    own = [c for c in docs.columns if c not in ("k1", "k2", "__ranges")]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"))
+    """docs(doc_id, text, ...) with RANGES: the repeated ranges of its text (rule, begin, end), or null; and the names of docs' columns, which stand as c0, c1, ... beside k1, k2 and text."""
+    own = [F.col(quoted(c)).alias(f"c{n}") for n, c in enumerate(docs.columns)]
+    keyed = docs.select(*own, F.col("text").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"))
     ranges = repeated_ranges(keyed.select("k1", "k2", "text"), rules).groupBy("k1", "k2").agg(F.collect_set(F.struct("rule", "begin", "end")).alias("__ranges"))
-    return keyed.join(cut(ranges), ["k1", "k2"], "left"), own
+    return keyed.join(cut(ranges), ["k1", "k2"], "left"), docs.columns
+
+
+def _covered(ranges: list[dict]) -> int:
+    """How many symbols the ranges cover together."""
+    total = end = 0
+    for r in sorted(ranges, key=lambda r: r["begin"]):
+        total += max(0, r["end"] - max(end, r["begin"]))
+        end = max(end, r["end"])
+    return total
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of what BYTES finds, and n_passage_words: words in what PASSAGES finds, which takes nothing out here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bites(batches, "text", 1 << 21):
-            sizes, removed, spans, shas = [], [], [], []
+            sizes, removed, spans, passages, shas = [], [], [], [], []
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges").to_pylist(), strict=True):
                 raw = (text or "").encode()
-                kept, n = _keep(raw, ranges or [])
+                kept, n = _keep(raw, [r for r in ranges or [] if r["rule"] == 0])
                 sizes.append(len(raw))
                 removed.append(len(raw) - len(kept))
                 spans.append(n)
+                passages.append(_covered([r for r in ranges or [] if r["rule"] == 1]))
                 shas.append(hashlib.sha256(kept).hexdigest())
-            arrays = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(shas, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            arrays = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans, passages)), pa.array(shas, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_passage_words", "kept_sha256"])
 
-    cleared, _ = _cleared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), (BYTES,))
-    return cleared.select("doc_id", "text", "__ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cleared, _ = _cleared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), (BYTES, PASSAGES))
+    return cleared.select(F.col("c0").alias("doc_id"), "text", "__ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_passage_words long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, rules: tuple[Rule, ...] = (BYTES,)) -> DataFrame:
-    """docs with what is left of each text when all that any rule finds is out; all its columns stay, k1, k2 and __ranges excepted. Where a cut leaves part of a character, that part goes too."""
+    """docs with what is left of each text when all that any rule finds is out; all its columns stay. Where a cut leaves part of a character, that part goes too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bites(batches, "text", 1 << 21):
@@ -424,6 +435,7 @@ def deduplicate(docs: DataFrame, rules: tuple[Rule, ...] = (BYTES,)) -> DataFram
             yield with_columns(batch.drop_columns(["text", "__ranges"]), {"text": pa.array(kept, pa.string())})
 
     cleared, own = _cleared(docs, rules)
-    cleared = cleared.select(*[c for c in own if c != "text"], "text", "__ranges")
-    shape = cleared.drop("__ranges")
-    return cleared.mapInArrow(run, ddl(shape)).select(*own)
+    names = [f"c{n}" for n, c in enumerate(own) if c != "text"]
+    cleared = cleared.select(*names, "text", "__ranges")
+    out = cleared.mapInArrow(run, ddl(cleared.drop("__ranges")))
+    return out.select(*[F.col("text" if c == "text" else f"c{n}").alias(c) for n, c in enumerate(own)])

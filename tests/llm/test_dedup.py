@@ -113,7 +113,7 @@ def test_suffix_dedup(docs, rows, hot, monkeypatch):
 
 def test_suffix_dedup_texts(docs, empty):
     out = suffix_dedup.deduplicate(docs)
-    assert out.columns == [c for c in docs.columns if c != "k1"] and out.count() == docs.count()
+    assert out.columns == docs.columns and out.count() == docs.count() and out.where("k1 <> 'k'").count() == 0
     assert suffix_dedup.digests(empty).count() == 0 and suffix_dedup.deduplicate(empty).count() == 0
 
 
@@ -131,6 +131,13 @@ def passages_removed(texts, width=51):
     return out
 
 
+def test_words_in_passages(docs, rows):
+    got = sorted((r["doc_id"] or -1, r["n_passage_words"]) for r in suffix_dedup.digests(docs).collect())
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    given = [t or "" for _, t in rows]
+    assert got == sorted((i or -1, words(t) - words(left)) for (i, _), t, left in zip(rows, given, passages_removed(given), strict=True)) and max(n for _, n in got) > 50
+
+
 @pytest.mark.parametrize("hot", [192, 2])
 def test_passages_of_over_50_words(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)

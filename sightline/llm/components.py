@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, cuts, forget
 
 
 class Forest:
@@ -65,20 +65,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Null ends and loops are dropped; repeated edges count once; no edge gives an empty result.
     """
     both = lambda e: e.union(e.select(F.col("b"), F.col("a")))
-    # Written first: whatever Python makes the edges doesn't run beside this one in a task.
-    live = _stars(cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")))
-    labels = None
-    while not live.isEmpty():
-        hook = both(live).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
-        hook = cut(hook)
-        onward = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        hook = cut(hook.join(onward, "p").select("v", F.col("q").alias("p")))
+    with cuts() as made:
+        # Written first: whatever Python makes the edges doesn't run beside this one in a task.
+        given = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
+        live, labels = _stars(given), None
+        forget(given)
+        while not live.isEmpty():
+            near = cut(both(live).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p")))
+            onward = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            hook = cut(near.join(onward, "p").select("v", F.col("q").alias("p")))
+            forget(near)
+            if labels is None:
+                labels = hook.select(F.col("v").alias("node"), F.col("p").alias("component"))
+            else:
+                labels = labels.join(hook, labels["component"] == hook["v"], "left").select("node", F.coalesce("p", "component").alias("component"))
+            left, right = hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+            before, live = live, _stars(live.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+            forget(before)
         if labels is None:
-            labels = hook.select(F.col("v").alias("node"), F.col("p").alias("component"))
-        else:
-            labels = labels.join(hook, labels["component"] == hook["v"], "left").select("node", F.coalesce("p", "component").alias("component"))
-        left, right = hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        live = _stars(live.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
-    if labels is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return cut(labels)
+            labels = live.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return made.keep(cut(labels))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected_components
-from .runtime import cut, ddl, from_rows
+from .runtime import cut, cuts, ddl, from_rows
 
 #: Pivots that one level of the tree's top gets, its levels, and rows of a cell from which it is split again.
 PIVOTS = 512
@@ -345,11 +345,12 @@ def near_duplicates(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     fit = usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     live = rows.where(fit)
     distinct = cut(live.groupBy("label", "v").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("rep")).select("label", "v", "w", "rep", F.monotonically_increasing_id().alias("uid")))
-    found = threshold_links(distinct, cosine)
-    counts = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "uid")
-    components = connected_components(found.where("b is not null").select("a", "b"))
-    named = distinct.select("uid", "label", "v", "w", "rep").join(counts, "uid", "left").join(components.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    named = cut(named)
+    with cuts() as made:
+        found = threshold_links(distinct, cosine)
+        counts = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "uid")
+        components = connected_components(found.where("b is not null").select("a", "b"))
+        named = distinct.select("uid", "label", "v", "w", "rep").join(counts, "uid", "left").join(components.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+        named = made.keep(cut(named))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
     out = live.join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")

@@ -1,6 +1,7 @@
 """Token counts that follow edits without counting a document anew.
 
-Each document keeps a balanced tree over its pre-tokens, in blocks; nodes hold the sums of characters, pre-tokens and tokens below them. An
+Each document keeps a balanced tree over its pre-tokens, in blocks; nodes hold the sums of characters, pre-tokens and tokens below them. plant() makes the trees once, as
+records in a column that is written with the texts; edit() loads a record by its blocks' sums, reads only the blocks that edits touch, and gives the record after them. An
 edit takes out the pre-tokens that it touches, those before it that a split decision could look into (two characters ahead), and as many behind as
 it takes until a new boundary meets an old one: from there on the split is the same, as the pattern never looks back. Only these are
 encoded again; the sums on the way to the root follow.
@@ -31,25 +32,86 @@ EDITS = "array<struct<start:bigint,length:bigint,text:string>>"
 
 
 class Node:
-    """A block of pre-tokens (their sizes and counts), or two subtrees; sums over what is below."""
+    """A block of pre-tokens (their sizes and counts), or two subtrees; sums over what is below. A block of a stored tree is read when it is asked for."""
 
-    __slots__ = ("chars", "counts", "height", "left", "number", "right", "sizes", "tokens")
+    __slots__ = ("_counts", "_sizes", "chars", "height", "left", "number", "right", "stored", "tokens")
 
     def __init__(self, sizes: list[int] | None, counts: list[int] | None, left: Node | None = None, right: Node | None = None):
-        self.sizes, self.counts, self.left, self.right = sizes, counts, left, right
+        self._sizes, self._counts, self.left, self.right, self.stored = sizes, counts, left, right, None
         if left is None:
             self.chars, self.tokens, self.number, self.height = sum(sizes), sum(counts), len(sizes), 1
         else:
             self.chars, self.tokens, self.number = left.chars + right.chars, left.tokens + right.tokens, left.number + right.number
             self.height = 1 + max(left.height, right.height)
 
+    @classmethod
+    def of_stored(cls, sizes: np.ndarray, counts: np.ndarray, chars: int, tokens: int) -> Node:
+        node = cls.__new__(cls)
+        node._sizes = node._counts = node.left = node.right = None
+        node.stored, node.chars, node.tokens, node.number, node.height = (sizes, counts), chars, tokens, len(sizes), 1
+        return node
+
+    @property
+    def sizes(self) -> list[int]:
+        if self._sizes is None and self.stored is not None:
+            self._sizes = self.stored[0].tolist()
+        return self._sizes
+
+    @property
+    def counts(self) -> list[int]:
+        if self._counts is None and self.stored is not None:
+            self._counts = self.stored[1].tolist()
+        return self._counts
+
 
 def build(sizes: list[int], counts: list[int]) -> Node:
-    level = [Node(sizes[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(sizes), BLOCK)] or [Node([], [])]
+    return _above([Node(sizes[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(sizes), BLOCK)] or [Node([], [])])
+
+
+def _above(level: list[Node]) -> Node:
     halves = lambda a, b: level[a] if b - a == 1 else Node(None, None, halves(a, (a + b) // 2), halves((a + b) // 2, b))
     return halves(0, len(level))
 
 
+def packed(blocks: list[int], sums: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> bytes:
+    """A tree's record: how many pre-tokens each block has, the blocks' sums of characters and tokens, then all sizes and counts, in two bytes each if they fit."""
+    wide = len(sizes) and max(int(sizes.max()), int(counts.max())) > 0xFFFF
+    kind = "<u4" if wide else "<u2"
+    return b"".join([np.array([len(blocks), len(sizes), bool(wide)], "<i8").tobytes(), np.array(blocks, "<u4").tobytes(), sums.astype("<i8").tobytes(), sizes.astype(kind).tobytes(), counts.astype(kind).tobytes()])
+
+
+def planted(sizes: np.ndarray, counts: np.ndarray) -> bytes:
+    """The record of a new tree."""
+    at = np.arange(0, len(sizes), BLOCK)
+    sums = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (sizes, counts)], axis=1) if len(at) else np.zeros((0, 2), np.int64)
+    return packed(np.diff(np.append(at, len(sizes))).tolist(), sums, sizes, counts)
+
+
+def stored(t: Node) -> bytes:
+    """The record of a tree."""
+    leaves, waiting = [], [t]
+    while waiting:
+        node = waiting.pop()
+        if node.left is None:
+            leaves.append(node)
+        else:
+            waiting += [node.right, node.left]
+    leaves = [x for x in leaves if x.number]
+    whole = [np.concatenate([np.asarray(x.stored[k] if x.stored is not None else (x.sizes, x.counts)[k], np.uint32) for x in leaves]) if leaves else np.zeros(0, np.uint32) for k in (0, 1)]
+    return packed([x.number for x in leaves], np.array([(x.chars, x.tokens) for x in leaves], np.int64).reshape(-1, 2), *whole)
+
+
+def loaded(record: bytes) -> Node:
+    """The tree of a record; only its blocks' sums are read now."""
+    n, total, wide = np.frombuffer(record, "<i8", 3).tolist()
+    numbers, at = np.frombuffer(record, "<u4", n, 24), 24 + 4 * n
+    sums, at = np.frombuffer(record, "<i8", 2 * n, at).reshape(n, 2).tolist(), at + 16 * n
+    kind, width = ("<u4", 4) if wide else ("<u2", 2)
+    sizes, counts = np.frombuffer(record, kind, total, at), np.frombuffer(record, kind, total, at + width * total)
+    ends = np.cumsum(numbers, dtype=np.int64).tolist()
+    return _above([Node.of_stored(sizes[b - k : b], counts[b - k : b], *s) for b, k, s in zip(ends, numbers.tolist(), sums, strict=True)] or [Node([], [])])
+
+
 def join(a: Node, b: Node) -> Node:
     """The two trees in order, balanced by height."""
     if not a.number:
@@ -171,34 +233,59 @@ def _tools(path: str) -> tuple[WordIds, Callable, Callable]:
     return WordIds(lambda words: [encode(w) for w in words]), regex.compile(public_tokenizers.PATTERN).findall, lru_cache(100_000)(lambda p: len(encode(p)))
 
 
-def recount(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
-    """docs(text, edits EDITS) with n_tokens, n_pretokens, n_tokens_after, n_reencoded (pre-tokens encoded again) in place of the edits."""
-    own = ("n_tokens", "n_pretokens", "n_tokens_after", "n_reencoded")
-    docs = docs.drop(*own)
+def plant(docs: DataFrame, path: str) -> DataFrame:
+    """docs(text) with tree (binary): the record of each text's tree, to be written with the texts. This is the only time that a whole text is encoded."""
+    docs = docs.drop("tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, pieces, count = _tools(path)
+        table, _, _ = _tools(path)
         for batch in bites(batches, "text", 200_000):
             given = texts(batch)
             parts = long_pieces(given[0]) if len(given) == 1 else []
-            cuts = [Split([p], spaced=True) for p in parts] if len(parts) > 1 else [Split(given, spaced=True)]
-            size = np.concatenate([table.spans(c)[1] for c in cuts]).tolist()
-            long = np.concatenate([c.ends - c.starts for c in cuts]).tolist()
-            bounds = [0, len(size)] if len(parts) > 1 else cuts[0].bounds.tolist()
-            rows = []
-            for text, a, b, changes in zip(given, bounds[:-1], bounds[1:], batch.column(edits).to_pylist(), strict=True):
-                doc = Counted(text, build(long[a:b], size[a:b]), pieces, count)
+            made = [Split([p], spaced=True) for p in parts] if len(parts) > 1 else [Split(given, spaced=True)]
+            counts = np.concatenate([table.spans(c)[1] for c in made])
+            sizes = np.concatenate([c.ends - c.starts for c in made])
+            bounds = [0, len(sizes)] if len(parts) > 1 else made[0].bounds.tolist()
+            yield with_columns(batch, {"tree": pa.array([planted(sizes[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+
+    return docs.mapInArrow(run, f"{ddl(docs)}, tree binary")
+
+
+COUNTS = ("n_tokens", "n_pretokens", "n_tokens_after", "n_reencoded")
+
+
+def edit(trees: DataFrame, path: str, edits: str = "edits") -> DataFrame:
+    """trees(text, tree, edits EDITS), as plant() or edit() has left them -> text and tree as after the edits, and n_tokens, n_pretokens (both before them), n_tokens_after and n_reencoded
+    (pre-tokens encoded again) in place of the edits. Rows without edits keep their record as it is. The record must be that of the text."""
+    kept = [c for c in trees.columns if c not in (*COUNTS, edits, "text", "tree")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, pieces, count = _tools(path)
+        for batch in bites(batches, "text", 200_000):
+            after, records, rows = [], [], []
+            for text, record, changes in zip(texts(batch), batch.column("tree").to_pylist(), batch.column(edits).to_pylist(), strict=True):
+                doc = Counted(text, loaded(record), pieces, count)
+                if doc.tree.chars != len(text):
+                    raise ValueError("the tree isn't that of the text")
                 before, number = doc.tree.tokens, doc.tree.number
-                for x in changes or []:
-                    if x is not None:
-                        doc.edit(x["start"] or 0, x["length"] or 0, x["text"] or "")
+                changes = [x for x in changes or [] if x is not None]
+                for x in changes:
+                    doc.edit(x["start"] or 0, x["length"] or 0, x["text"] or "")
+                after.append(doc.text)
+                records.append(stored(doc.tree) if changes else record)
                 rows.append((before, number, doc.tree.tokens, doc.encoded))
-            columns = list(zip(*rows, strict=True))
-            yield with_columns(batch.drop_columns([edits]), {n: pa.array(c, pa.int64()) for n, c in zip(own, columns, strict=True)})
+            columns = dict(zip(COUNTS, zip(*rows, strict=True), strict=True))
+            rest = batch.drop_columns(["text", "tree", edits])
+            yield with_columns(rest, {"text": pa.array(after, pa.string()), "tree": pa.array(records, pa.binary())} | {n: pa.array(c, pa.int64()) for n, c in columns.items()})
 
-    rest = docs.drop(edits)
-    ordered = docs.select(*rest.columns, edits)
-    return ordered.mapInArrow(run, f"{ddl(rest)}, " + ", ".join(f"{n} long" for n in own))
+    ordered = trees.select(*kept, "text", "tree", edits)
+    shape = ordered.select(*kept, F.col("text").cast("string").alias("text"), "tree")
+    return ordered.mapInArrow(run, f"{ddl(shape)}, " + ", ".join(f"{n} long" for n in COUNTS))
+
+
+def recount(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
+    """docs(text, edits EDITS) with the text as after the edits, and n_tokens, n_pretokens, n_tokens_after, n_reencoded in place of the edits: trees that are planted, stored as records, loaded and edited."""
+    return edit(plant(docs, path), path, edits).drop("tree")
 
 
 def attach(docs: DataFrame, edits: DataFrame) -> DataFrame:

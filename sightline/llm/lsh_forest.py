@@ -8,8 +8,10 @@
    make uneven; the neighbours at two partitions' border are compared in a second, small pass.
 3. Candidates' components are clusters. Every pair with a similarity at the threshold lies in one cluster (but for the chance below). A cluster is
    dealt into blocks of about BLOCK_ROWS sets. Each block compares its full sets. In clusters of several blocks, about PIVOTS sets are
-   compared with all blocks; then the sets outside the cluster's largest component so far are compared with all blocks. What is left
+   compared with all others; then the sets outside the cluster's largest component so far. What is left
    are pairs within one component, which can't change the result: no pair that could is skipped, and none is written out for being in a large group.
+   These comparisons go by tiles of TILE_ROWS sets a side, as hashes of shingles made once, and only between sizes that can be similar enough: a cluster of n sets without a
+   large component sends each set to n / TILE_ROWS tasks at most.
 
 A pair of similarity s is missed by all trees with the probability (1 - s**DEPTH)**TREES at most: 3e-5 at 0.8, 4e-7 at 0.85, and less where regions are sparse.
 
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .components import Forest, connected_components
 from .pretokens import mix, span_hashes
-from .runtime import bites, cut, from_rows, partitions, texts
+from .runtime import bites, cut, cuts, from_rows, partitions, texts
 
 TREES, DEPTH, SPARSE = 20, 4, 8
 BLOCK_ROWS, BLOCK_SHINGLES, PIVOTS = 64, 40_000, 64
+#: Sets, and shingles of them, on each side of a comparison within a large cluster.
+TILE_ROWS, TILE_SHINGLES = 512, 400_000
 #: Rows of (cluster, block, id) that may be broadcast: under 30 MB. With more of them the join is a shuffled one.
 BROADCAST_ROWS = 200_000
 _SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -195,30 +199,65 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def links_of(ids: list[int], sets: list[np.ndarray], percent: int, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets; with queries (a mask) only links from those to the others are compared."""
+def links_of(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets."""
     both = overlaps(sets)
     size = np.array([len(s) for s in sets], float)
     linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    if queries is not None:
-        linked &= queries[:, None] & ~queries[None, :]
     forest = Forest(len(ids))
     return [(ids[i], ids[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True) if i != j and forest.join(i, j)]
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def links_between(ids: list[int], sets: list[np.ndarray], asked: np.ndarray, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets that are asked for and the others."""
+    one, other = np.flatnonzero(asked), np.flatnonzero(~asked)
+    size = np.array([len(s) for s in sets], float)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    number = np.cumsum(np.append(True, values[1:] != values[:-1])) - 1
+    mine = np.bincount(number, asked[owner])
+    shared = ((mine > 0) & (mine < np.bincount(number)))[number]
+    number, owner = np.unique(number[shared], return_inverse=True)[1], owner[shared]
+    row = np.empty(len(sets), np.int64)
+    row[one], row[other] = np.arange(len(one)), np.arange(len(other))
+    both = np.zeros((len(one), len(other)), np.float32)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        lo, hi = np.searchsorted(number, [a, a + columns])
+        wide = min(columns, int(number[-1]) + 1 - a)
+        x, y = np.zeros((len(one), wide), np.float32), np.zeros((len(other), wide), np.float32)
+        of = owner[lo:hi]
+        yes = asked[of]
+        x[row[of[yes]], number[lo:hi][yes] - a] = 1
+        y[row[of[~yes]], number[lo:hi][~yes] - a] = 1
+        both += x @ y.T
+    linked = 100 * both.astype(np.float64) >= percent * (size[one][:, None] + size[other][None, :] - both)
+    forest = Forest(len(ids))
+    return [(ids[i], ids[j]) for i, j in zip(one[np.nonzero(linked)[0]].tolist(), other[np.nonzero(linked)[1]].tolist(), strict=True) if ids[i] != ids[j] and forest.join(i, j)]
+
 
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _compare(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
-    """rows(keys, query boolean or null, rep, text) -> links (a, b) found within the groups of the keys."""
 
+def _within_blocks(members: DataFrame, words: int, percent: int) -> DataFrame:
     def run(data: pa.Table) -> pa.Table:
-        query = data.column("query").to_pylist()
-        queries = None if query[0] is None else np.array(query, bool)
-        ids = data.column("rep").to_pylist()
-        return pa.Table.from_batches([from_rows(links_of(ids, shingle_sets([t or "" for t in data.column("text").to_pylist()], words), percent, queries), _LINK)])
+        sets = shingle_sets([t or "" for t in data.column("text").to_pylist()], words)
+        return pa.Table.from_batches([from_rows(links_of(data.column("rep").to_pylist(), sets, percent), _LINK)])
+
+    return members.groupBy("cluster", "block").applyInArrow(run, "a long, b long")
+
+
+def _sets(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """members with their shingles in place of the text. Sets of bands that aren't neighbours differ too much in size for a link."""
 
-    return rows.groupBy(*keys).applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bites(batches, "text", 400_000):
+            made = shingle_sets(texts(batch), words)
+            bands = [int(np.floor(np.log(len(s)) / np.log(100 / percent) + 1e-9)) if percent < 100 else len(s) for s in made]
+            columns = [batch.column(c) for c in ("cluster", "rows", "block", "rep")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.int32()), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["cluster", "rows", "block", "rep", "band", "n", "shingles"])
+
+    return members.select("cluster", "rows", "block", "rep", "text").mapInArrow(run, "cluster long, rows long, block int, rep long, band int, n long, shingles binary")
 
 
 def confirm(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
@@ -228,40 +267,52 @@ def confirm(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> D
     dealt = cut(clusters.join(blocks, "cluster").select("rep", "cluster", "rows", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")))
     side = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
     members = cut(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(side, "rep"))
-    links = cut(_compare(members.withColumn("query", F.lit(None).cast("boolean")), ["cluster", "block"], words, percent))
+    links = cut(_within_blocks(members, words, percent))
     large = members.where("blocks > 1")
     if large.isEmpty():
         return links
+    large = cut(_sets(large, words, percent))
     pivots = large.where(F.pmod(F.xxhash64("rep", F.lit("pivot")), F.ceil(F.col("rows") / PIVOTS)) == 0)
-    links = cut(links.union(_against_blocks(pivots.select("cluster", "blocks", "rep", "text", F.lit(0).alias("part"), F.lit(1).alias("parts")), large, words, percent)))
+    links = cut(links.union(_against_all(pivots, large, percent)))
     found = connected_components(links)
-    placed = cut(large.select("cluster", "blocks", "block", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    placed = cut(large.select("cluster", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     main = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    others = placed.join(main, "cluster").where("component <> main").select("rep", "cluster")
-    parts = others.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
-    others = cut(others.join(parts, "cluster").select("rep", "parts", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int").alias("part")))
-    rest = large.join(others, "rep").select("cluster", "blocks", "rep", "text", "part", "parts")
-    return links.union(_against_blocks(rest, large, words, percent))
+    others = cut(placed.join(main, "cluster").where("component <> main").select("rep"))
+    return links.union(_against_all(large.join(others, "rep", "left_semi"), large, percent))
+
+
+def _against_all(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between the queries and the members of their cluster, tile by tile: a part of the queries of one band against a part of the members of one next to it."""
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.least(F.count(F.lit(1)), F.sum("n") / TILE_SHINGLES))).cast("int")
+    q_parts = cut(queries.groupBy("cluster", F.col("band").alias("q_band")).agg(parts.alias("q_parts")))
+    m_parts = cut(members.groupBy("cluster", F.col("band").alias("m_band")).agg(parts.alias("m_parts")))
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
+    place = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = queries.select("cluster", F.col("band").alias("q_band"), "rep", "shingles", near.alias("m_band")).join(q_parts, ["cluster", "q_band"]).join(m_parts, ["cluster", "m_band"])
+    asked = asked.select("cluster", "q_band", place("q_parts", "query").alias("q_part"), "m_band", every("m_parts").alias("m_part"), F.lit(True).alias("asked"), "rep", "shingles")
+    given = members.select("cluster", F.col("band").alias("m_band"), "rep", "shingles", near.alias("q_band")).join(m_parts, ["cluster", "m_band"]).join(q_parts, ["cluster", "q_band"])
+    given = given.select("cluster", "q_band", every("q_parts").alias("q_part"), "m_band", place("m_parts", "member").alias("m_part"), F.lit(False).alias("asked"), "rep", "shingles")
 
+    def run(data: pa.Table) -> pa.Table:
+        asked, sets = data.column("asked").to_numpy(zero_copy_only=False), [np.frombuffer(s, np.uint64) for s in data.column("shingles").to_pylist()]
+        found = links_between(data.column("rep").to_pylist(), sets, asked, percent) if asked.any() and not asked.all() else []
+        return pa.Table.from_batches([from_rows(found, _LINK)])
 
-def _against_blocks(queries: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between the queries (in parts) and the members of all blocks of their cluster but the query's own place in them."""
-    parts = queries.groupBy("cluster").agg(F.max("parts").alias("parts"))
-    asked = queries.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(True).alias("query"), "rep", "text")
-    given = members.join(parts, "cluster").select("cluster", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "rep", "text")
-    return _compare(asked.union(given), ["cluster", "block", "part"], words, percent)
+    return asked.unionByName(given).groupBy("cluster", "q_band", "q_part", "m_band", "m_part").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id, kept), a row for each row.
 
     Links join documents with 100 * intersection >= percent * union of their sets of shingles of `words` words."""
-    signed = cut(sign(docs, words))
-    classes = cut(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
-    live = classes.where("n_shingles > 0 and rep is not null")
-    clusters = connected_components(forest_links(live)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    sized = live.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles"))
-    found = connected_components(confirm(docs, clusters.join(sized, "rep"), words, percent))
+    with cuts() as made:
+        signed = made.keep(cut(sign(docs, words)))
+        classes = made.keep(cut(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))))
+        live = classes.where("n_shingles > 0 and rep is not null")
+        clusters = connected_components(forest_links(live)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        sized = live.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles"))
+        found = made.keep(connected_components(confirm(docs, clusters.join(sized, "rep"), words, percent)))
     placed = classes.select("d1", "d2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(placed, ["d1", "d2"])
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -3,63 +3,90 @@
 from __future__ import annotations
 
 import atexit
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shared import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session without that setting gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = getattr(spark, "_sightline_folder", None)
-    if folder is None:
-        place = tempfile.mkdtemp(prefix="sightline-")
-        atexit.register(shutil.rmtree, place, ignore_errors=True)
-        spark._sightline_folder = folder = f"file://{place}"
-    return folder
-
-
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_open: list[list[str]] = []
 
 
-def _at_exit(spark: SparkSession, path: str) -> None:
-    """What has been cut goes when the driver ends; a driver that dies leaves it to the folder's own cleaning."""
-    if not _written:
-        atexit.register(_remove)
-    _written.append((spark, path))
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove() -> None:
-    for spark, path in _written:
+    """What is left goes when the driver ends; a driver that dies leaves it to the folder's own cleaning."""
+    for path in list(_written):
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(path)
         except Exception:  # the session has ended before
             return
 
 
+atexit.register(_remove)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: later stages don't recompute it, nor does a lost executor lose it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    _at_exit(spark, path)
+    _written[path] = spark
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sightline_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what cut() has written for df; no plan may read it any more."""
+    _delete(getattr(df, "_sightline_path", ""))
+
+
+class Cuts:
+    def __init__(self, paths: list[str]):
+        self.paths, self.kept = paths, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, which cut() returned, outlives the block."""
+        self.kept.append(df._sightline_path)
+        return df
+
+
+@contextmanager
+def cuts() -> Iterator[Cuts]:
+    """A block at whose end all that cut() has written in it is deleted, but for what is kept. Plans made in it may read only that afterwards."""
+    found = Cuts([])
+    _open.append(found.paths)
+    try:
+        yield found
+    except BaseException:
+        found.kept = []
+        raise
+    finally:
+        _open.pop()
+        for path in found.paths:
+            if path not in found.kept:
+                _delete(path)
+        if _open:
+            _open[-1].extend(found.kept)
 
 
 def partitions(spark: SparkSession) -> int:

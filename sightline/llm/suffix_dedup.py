@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..names import quoted
 from .lsh_forest import _SPACES, _slabs
 from .pretokens import mix, span_hashes, window_hashes
-from .runtime import bites, cut, ddl, partitions, texts, with_columns
+from .runtime import bites, cut, cuts, ddl, forget, partitions, texts, with_columns
 
 WIDTH, GRAM = 400, 50
 SHALLOW = 32
@@ -348,9 +348,11 @@ def repeated_ranges(docs: DataFrame, rules: tuple[Rule, ...] = (BYTES,)) -> Data
     # Counts are written before they are joined: a join right above an aggregation couldn't be split where a key is frequent.
     often = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     again = cut(found.join(often, "h"))
+    forget(found)
     kinds = cut(again.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "first")).alias("one")))
     mixed = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("kinds > 1 and single > 0").select("h", "kinds"))
     judged = cut(again.join(kinds, ["h", "run"]).join(mixed, "h", "left"))
+    forget(again)
     whole = judged.where("n > 1").select("k1", "k2", "rule", F.col("first").alias("begin"), (F.col("last") + width).alias("end"))
     wanted = judged.where("kinds is not null").where(F.struct("k1", "k2", "at", "first") == F.col("one"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("rule", "h", "at", "first", "last", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))
@@ -387,8 +389,10 @@ def _cleared(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[
     """docs(doc_id, text, ...) with RANGES: the repeated ranges of its text (rule, begin, end), or null; and the names of docs' columns, which stand as c0, c1, ... beside k1, k2 and text."""
     own = [F.col(quoted(c)).alias(f"c{n}") for n, c in enumerate(docs.columns)]
     keyed = docs.select(*own, F.col("text").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"))
-    ranges = repeated_ranges(keyed.select("k1", "k2", "text"), rules).groupBy("k1", "k2").agg(F.collect_set(F.struct("rule", "begin", "end")).alias("__ranges"))
-    return keyed.join(cut(ranges), ["k1", "k2"], "left"), docs.columns
+    with cuts() as made:
+        ranges = repeated_ranges(keyed.select("k1", "k2", "text"), rules).groupBy("k1", "k2").agg(F.collect_set(F.struct("rule", "begin", "end")).alias("__ranges"))
+        ranges = made.keep(cut(ranges))
+    return keyed.join(ranges, ["k1", "k2"], "left"), docs.columns
 
 
 def _covered(ranges: list[dict]) -> int:

@@ -111,6 +111,41 @@ def test_suffix_dedup(docs, rows, hot, monkeypatch):
     assert got == want
 
 
+def test_tiles_of_large_clusters(spark, monkeypatch):
+    """The same links with tiles of a few sets, for sets of very different sizes in one cluster."""
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(lsh_forest, "TILE_ROWS", 5)
+    monkeypatch.setattr(lsh_forest, "PIVOTS", 4)
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(160):
+        w = base[: int(rng.choice([60, 90, 120, 300, 400]))]
+        for p in rng.integers(0, len(w), rng.integers(0, len(w) // 25 + 1)):
+            w[p] = f"x{rng.integers(10**6)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t, 4) for _, t in rows]
+    edges = [(a, b) for a in range(160) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = groups(range(160), edges)
+    together = spark.createDataFrame([(k, 0, len(s)) for k, s in enumerate(sets)], "rep long, cluster long, n_shingles long")
+    links = [(r["a"], r["b"]) for r in lsh_forest.confirm(docs, together, 4, 80).collect()]
+    assert not {frozenset(x) for x in links} - {frozenset(e) for e in edges}
+    assert groups(range(160), links) == want and 3 < len(set(want.values())) < 160
+
+
+def test_what_is_cut_goes(spark, docs):
+    import os
+
+    from sightline.plans.shared import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = lsh_forest.near_duplicates(docs)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 3 and out.count() == docs.count()
+
+
 def test_suffix_dedup_texts(docs, empty):
     out = suffix_dedup.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and out.where("k1 <> 'k'").count() == 0

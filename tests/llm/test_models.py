@@ -153,6 +153,54 @@ def test_licenses(spark, docs, rows, empty):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+MIT_LAYOUT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_licenses_inside_longer_texts(spark):
+    """In their usual layout of several paragraphs, with either line end, and within a line."""
+    rng = random.Random(11)
+    around = lambda: "\n\n".join(invented(rng, "aa", 60) for _ in range(4))
+    texts = license_scan.TEMPLATES
+    header = texts["Apache-2.0 header"].replace("You may obtain a copy of the License at ", "You may obtain a copy of the License at\n\n    ").replace(" Unless required", "\n\nUnless required")
+    rows = [
+        (1, f"{around()}\n\n{MIT_LAYOUT}\n{around()}", "MIT"),
+        (2, f"{around()}\n\n{MIT_LAYOUT}\n{around()}".replace("\n", "\r\n"), "MIT"),
+        (3, f"{around()}\n \t\n{header}\n\n{around()}", "Apache-2.0 header"),
+        (4, "This text: Released under the MIT License. See more below for details about it.", "MIT notice"),
+        (5, f"{around()}\n\n{texts['BSD-3-Clause'].replace(' 1. ', chr(10) * 2 + '1. ').replace(' 2. ', chr(10) * 2 + '2. ').replace(' 3. ', chr(10) * 2 + '3. ').replace(' THIS SOFTWARE IS', chr(10) * 2 + 'THIS SOFTWARE IS')}\n\n{around()}", "BSD-3-Clause"),
+        (6, around(), None),
+    ]
+    docs = spark.createDataFrame([(i, t, "u", "k") for i, t, _ in rows], "doc_id long, text string, units string, known string")
+    got = license_scan.scan(docs)
+    assert got.columns == ["doc_id", "text", "units", "known", "matches", "license", "dice", "n_matches"]
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert {i: found[i]["license"] for i, _, _ in rows} == {i: name for i, _, name in rows}
+    assert all(r["units"] == "u" and r["known"] == "k" for r in found.values())
+    db = duckdb.connect()
+    db.register("documents", docs.select("doc_id", "text").toPandas())
+    want = db.sql(license_scan.oracle()).fetchall()
+    assert sorted((r["doc_id"], r["license"], r["dice"], r["n_matches"]) for r in found.values()) == sorted(want)
+
+
 def test_signs_lose_no_match():
     rng = random.Random(2)
     rows = license_scan._rows(license_scan.TEMPLATES, 0.8)

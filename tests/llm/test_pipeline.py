@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
     toxic = {k for k, _, t in labels if t}
     assert not ids("toxicity") & toxic and len(ids("toxicity")) == len({r[0] for r in rows} - toxic)
     assert not ids("language") & {401, 402} and ids("language") >= ids("toxicity") - {401, 402}
-    assert 400 not in ids("near_duplicates") and 1 in ids("near_duplicates") and None in ids("near_duplicates")
+    assert 400 not in ids("near_duplicates") and 1 in ids("near_duplicates") and None in ids("language") and None not in ids("near_duplicates")
     left = {r["doc_id"]: r["text"] for r in seen["repeated_passages"]}
     assert all(passage[50:450] not in left[k] and r["n_chars"] == len(r["text"]) for k in range(500, 504) for r in seen["repeated_passages"] if r["doc_id"] == k)
     assert {r["doc_id"] for r in seen["packing"]} == ids("repeated_passages")
@@ -51,7 +51,9 @@ def test_registered():
 def test_texts_that_share_a_doc_id(spark):
     rng = random.Random(10)
     a, b, c = (prose(rng, 200) for _ in range(3))
-    rows = [(1, a), (1, b), (2, b + " more"), (2, c), (2, c), (0, a + " more")]
+    d = prose(rng, 200)
+    rows = [(1, a), (1, b), (2, b + " more"), (2, c), (2, c), (0, a + " more"), (None, d), (None, d), (None, d + " more"), (None, c + " more"), (-1, None), (None, None)]
     docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
-    assert got == sorted([(0, a + " more"), (1, b), (2, c)])
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert {x for x in got if x[0] is not None or x[1] is None} == {(0, a + " more"), (1, b), (2, c), (-1, None), (None, None)}
+    assert len([t for i, t in got if i is None and t is not None]) == 1 and len(got) == 6

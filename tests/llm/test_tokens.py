@@ -191,3 +191,31 @@ def test_patterned_words(spark, n):
     plain = word_bpe.encoding(PLAIN)
     counted = edit_counts.recount(docs.withColumn("edits", edit_counts.sample_edits()), PLAIN).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in counted} == {i: len(plain.encode_ordinary(x)) for i, x in rows}
+
+
+def test_trees_are_kept_between_runs(spark, docs, rows, tmp_path, monkeypatch):
+    """Planted trees are written; two later runs load them, encode only what their edits touch, and agree with counts from the start."""
+    enc = word_bpe.encoding(PLAIN)
+    edit_counts.plant(docs.select("doc_id", "text"), PLAIN).write.parquet(f"{tmp_path}/0")
+    now, rng = {i: t or "" for i, t in rows if i is not None and [j for j, _ in rows].count(i) == 1}, random.Random(8)
+    for run in (1, 2):
+        trees = spark.read.parquet(f"{tmp_path}/{run - 1}")
+        changes = [(i, k, rng.randrange(len(now[i]) + 1), rng.randrange(9), rng.choice(["", " new", "don't", "\n\n12"])) for i in sorted(now) if i % 2 for k in range(3)]
+        edits = spark.createDataFrame(changes, "doc_id long, seq int, start long, length long, text string")
+        edit_counts.edit(edit_counts.attach(trees, edits), PLAIN).write.parquet(f"{tmp_path}/{run}")
+        before = dict(now)
+        for i, _, start, length, new in changes:
+            now[i] = now[i][:start] + new + now[i][start + length :]
+        got = spark.read.parquet(f"{tmp_path}/{run}").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r["doc_id"] in now:
+                i = r["doc_id"]
+                assert (r["text"], r["n_tokens"], r["n_tokens_after"]) == (now[i], len(enc.encode_ordinary(before[i])), len(enc.encode_ordinary(now[i])))
+                assert list(edit_counts.walk(edit_counts.loaded(r["tree"]), 0)) == [len(x) for x in regex.findall(public_tokenizers.PATTERN, now[i])]
+                assert r["n_reencoded"] <= 3 * 20 and (r["n_reencoded"] == 0) == (i % 2 == 0)
+        trees = trees.drop(*edit_counts.COUNTS)
+
+
+def test_recount_of_nothing(empty):
+    assert edit_counts.recount(empty.select("doc_id", "text").withColumn("edits", edit_counts.sample_edits()), PLAIN).count() == 0

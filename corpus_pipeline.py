@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import byte_cnn, lsh_forest, open_window_packing, suffix_dedup, weak_toxicity
-from sightline.llm.runtime import cut, table
+from sightline.llm.runtime import cut, cuts, forget, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose language is less sure than this go; the network gives two languages or noise less.
@@ -35,13 +35,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group of near-duplicates (five words, similarity 0.8).
 
-    Texts that share a doc_id are judged each: a row is known by doc_id and text. Rows with a null doc_id can't be named by a group and all stay."""
-    docs = docs.select(COLUMNS)
-    keyed = docs.where("doc_id is not null").withColumn("__key", F.xxhash64("doc_id", "text"))
-    groups = lsh_forest.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, percent=80)
-    groups = cut(groups.select(F.col("doc_id").alias("__key"), "component_id").distinct())
-    kept = keyed.select("__key", "doc_id").join(groups, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("one")).select("one.__key")
-    return keyed.join(cut(kept), "__key", "left_semi").dropDuplicates(["__key"]).select(COLUMNS).union(docs.where("doc_id is null"))
+    Rows are judged each, also those that share a doc_id or have none: a row is known by doc_id and text, and rows that are equal in both are one. A row with a doc_id is kept before one without."""
+    own = (F.col("doc_id"), F.col("text"))
+    keyed = docs.select(COLUMNS).withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), *own)).withColumn("__digest", F.xxhash64(F.lit("row"), F.col("doc_id").isNull(), *own))
+    with cuts() as made:
+        groups = lsh_forest.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, percent=80)
+        groups = cut(groups.select(F.col("doc_id").alias("__key"), "component_id").distinct())
+        one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("one")
+        kept = made.keep(cut(keyed.select("__key", "doc_id").join(groups, "__key").groupBy("component_id").agg(one).select("one.__key")))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key", "__digest"]).select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        out = cut(stage(spark, docs, sf_dir))
+        forget(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

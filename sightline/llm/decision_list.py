@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..names import quoted
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_marks"]
@@ -30,8 +32,10 @@ SAMPLE_ROWS = 20_000
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns STATISTICS (longs): counts over the whole text; its other columns stay."""
-    keep = [c for c in docs.columns if c not in STATISTICS]
-    d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    own = [c for c in docs.columns if c not in STATISTICS]
+    # Columns go by numbers, so none of docs' names meets one of those made here.
+    keep = [f"c{n}" for n in range(len(own))]
+    d = docs.select(*[F.col(quoted(c)).alias(k) for c, k in zip(own, keep, strict=True)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("__text"))
     d = d.select(*keep, "__text", F.expr(r"regexp_extract_all(__text, '[^\\x20\\x09-\\x0D]+', 0)").alias("__words"), F.expr(r"filter(split(__text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("__lines"))
     spaces = F.length(F.regexp_replace("__text", WORD, ""))
     left = lambda chars: F.length(F.regexp_replace("__text", f"[^{chars}]+", ""))
@@ -57,7 +61,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     repeated = F.expr("aggregate(__at, struct(-3 as last, 0L as total), (a, p) -> struct(p as last, a.total + least(3, p - a.last) as total), a -> a.total)")
     d = d.select(*others, repeated.alias("n_repeat_words"))
     # Through a generator no filter is pushed: else one on a statistic would nest all these expressions and evaluate them for each element.
-    return d.select(*keep, F.inline(F.array(F.struct(*STATISTICS))))
+    return d.select(*[F.col(k).alias(c) for c, k in zip(own, keep, strict=True)], F.inline(F.array(F.struct(*STATISTICS))))
 
 
 def base_failed() -> Column:

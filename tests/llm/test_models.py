@@ -215,3 +215,80 @@ def test_every_language_is_a_class(spark):
     rows = [(k, chr(0x400 + 3 * (k % 70)) * 40, f"l{k % 70}") for k in range(280)]
     model = byte_cnn.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == sorted({r[2] for r in rows})
+
+
+def test_language_scores_by_brute_force(spark, docs):
+    """predict() against the network evaluated window by window, byte by byte."""
+    model = byte_cnn.fit(spark.createDataFrame(language_rows(60), "doc_id long, text string, lang string"))
+
+    def network(window):
+        e = model.embedding[window]
+        h = [max(0.0, float(max(sum(e[p + j] @ f[j][:, k] for j in range(w)) for p in range(len(window) - w + 1)) + b[k])) for w, f, b in zip(byte_cnn.WIDTHS, model.filters, model.biases, strict=True) for k in range(f.shape[2])]
+        z = np.array(h) @ model.weights + model.bias
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    texts = [(1, "kel tor mun"), (2, "schaft über heit " * 9), (3, "123"), (4, None), (5, "x" + "ère quin " * 60)]
+    got = {r["doc_id"]: r for r in byte_cnn.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        if i in (3, 4):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        rows, weight = byte_cnn.windows(t.encode())
+        mean = sum(network(r.tolist()) * float(w) for r, w in zip(rows, weight, strict=True)) / float(sum(weight))
+        p = np.exp(mean) / np.exp(mean).sum()
+        assert got[i]["lang_pred"] == model.languages[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-3
+
+
+def test_toxicity_scores_by_brute_force(spark, docs):
+    """predict() against votes counted by regular expressions, one voter after another."""
+    rows, labels = toxic_rows(600)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = weak_toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odd = [(9000, None), (9001, ""), (9002, "ZORK zork!! Zorks zork"), (9003, "blarg " * 40), (9004, "zorkzork éblarg blargé quux-quux"), (9005, "LOUD WORDS!!!!")]
+
+    def score(text):
+        low = text.lower()
+        hits = [len(re.findall(rf"(?<![^\W\d_]){re.escape(x.stem)}(?=[^\W\d_])" if x.beginning else rf"(?<![^\W\d_]){re.escape(x.stem)}(?![^\W\d_])", low)) for x in model.lexicon]
+        words = low.count(" ") + low.count("\n") + 1
+        levels = [(True, n > 1, n > 2, n > 1 and n * 250 >= words) for n in hits]
+        votes = [float(n > 0 and lv[x.level]) for n, lv, x in zip(hits, levels, model.lexicon, strict=True)]
+        n, total = sum(votes), sum(hits)
+        votes += [n > 1, n > 2, bool(n) and total * 150 >= words, bool(n) and total * 50 >= words, n == 0, bool(text) and text.isupper(), text.count("!!") * 8 > len(text) / 8]
+        return 1 / (1 + np.exp(-np.clip(np.array(votes, float) @ model.weights + model.bias, -30, 30)))
+
+    given = rows + odd
+    got = {r["doc_id"]: r for r in weak_toxicity.predict(spark.createDataFrame(given, "doc_id long, text string"), model).collect()}
+    for i, t in given:
+        want = score(t or "")
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["predicted"] == int(got[i]["score"] >= 0.5), (i, t)
+
+
+def test_decision_list_by_brute_force(spark, docs, rows):
+    """annotate() against the rules applied to plain statistics, one after another."""
+    C = decision_list.Condition
+    rules = [[C("repeat_share", True, 0.2), C("words", True, 60.0)], [C("mean_word", False, 3.4)], [C("dup_line_share", True, 0.1)], [C("symbols_per_word", True, 0.01), C("caps_share", True, 0.1)]]
+    plain = lambda n, size=7: " ".join(f"{k:x}".rjust(size, "w") for k in range(n))
+    extra = [(900, plain(150) + " aaaa bbbb cccc" * 15), (901, plain(90, 2)), (902, plain(200) + "\nsame line here" * 3 + "\nx\ny"), (903, plain(100).upper() + " # #"), (904, plain(80))]
+    table = docs.select("doc_id", "text", "kept").withColumn("__words", F.lit(1)).union(spark.createDataFrame([(*r, None, 1) for r in extra], "doc_id long, text string, kept boolean, w int"))
+    got = decision_list.annotate(table, rules).collect()
+
+    def want(text):
+        n, chars, symbols, dup, repeat = statistics_of(text)
+        text = text or ""
+        if n < 50 or 100 * repeat > 50 * n:
+            return False, 0
+        lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        caps = len(re.findall("[A-Z]", text))
+        ratio = {"mean_word": chars / n, "symbols_per_word": symbols / n, "dup_line_share": dup / lines if lines else 0, "repeat_share": repeat / n, "caps_share": caps / chars if chars else 0, "words": n}
+        for k, rule in enumerate(rules, 1):
+            if all(ratio[c.ratio] >= c.threshold if c.above else ratio[c.ratio] < c.threshold for c in rule):
+                return False, k
+        return True, None
+
+    assert sorted(((r["doc_id"] or -1, r["kept"], r["rule"]) for r in got), key=str) == sorted(((i or -1, *want(t)) for i, t in rows + extra), key=str)
+    assert {r["rule"] for r in got} == {0, 1, 2, 3, 4, None} and "__words" in got[0].asDict()
+
+
+def test_nothing_to_predict(empty):
+    model = byte_cnn.train(np.random.default_rng(1).integers(0, 257, (8, byte_cnn.WINDOW)).astype(np.uint16), np.arange(8) % 2, ["x", "y"], epochs=1)
+    assert byte_cnn.predict(empty, model).count() == 0

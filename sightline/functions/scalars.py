@@ -30,11 +30,12 @@ def decoded(value: Column) -> Column:
 
 def ipv4_number(value: Column) -> Column:
     """A dotted address as a number; null if it isn't one."""
-    parts = F.split(value, r"\.")
-    valid = value.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$")
+    parts = [F.split_part(value, F.lit("."), F.lit(i)) for i in range(1, 5)]
+    valid = F.translate(value, "0123456789", "") == "..."
     number = F.lit(0).cast("long")
-    for i in range(4):
-        number = number * 256 + F.try_element_at(parts, F.lit(i + 1)).try_cast("long")
+    for p in parts:
+        valid &= (F.length(p) < 3) & (F.length(p) > 0) | (F.length(p) == 3) & p.between("100", "255")
+        number = number * 256 + p.try_cast("long")
     return F.when(valid, number)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,24 +223,57 @@ def download(url: str, chunk: int = 8192) -> str:
     return b"".join(parts).decode(errors="ignore")
 
 
+def _downloaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for url, base in zip(batch.column("url").to_pylist(), batch.column("base").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([download(url)]), pa.array([base], pa.int64())], names=["value", "base"])
+
+
+def _plain(uri: SparkColumn | str) -> SparkColumn | str:
+    """A file's address with one slash behind the scheme, as different readers write it differently."""
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", uri) if isinstance(uri, str) else F.regexp_replace(uri, "^([a-z0-9]+):/+", "$1:/")
+
+
+def _read_texts(spark: SparkSession, paths: dict[str, int], whole: bool) -> DataFrame:
+    """(value, base) of the paths: the files among them by one reader, a folder or pattern by one each."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files, frames = {}, []
+    for path, base in paths.items():
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if len(paths) > 1 and fs.exists(p) and fs.getFileStatus(p).isFile():
+            files[path] = (_plain(fs.makeQualified(p).toUri().toString()), base)
+        else:
+            frames.append(spark.read.text(path, wholetext=whole).select("value", F.lit(base).cast("long").alias("base")))
+    if files:
+        bases = spark.createDataFrame(list(files.values()), "file string, base long")
+        frames.append(spark.read.text(list(files), wholetext=whole).select("value", _plain(F.col("_metadata.file_path")).alias("file")).join(F.broadcast(bases), "file").select("value", "base"))
+    return reduce(DataFrame.union, frames)
+
+
 def read_objects(spark: SparkSession, sources: object, types: Iterable[str] | None = None, partial: bool = False) -> DataFrame:
     """(object, seq): JSON text of each object of the bundles, in their order; sources: paths, http(s) addresses, dicts or a list of them.
 
-    A file holds one bundle, or, named .jsonl, an object in each line. Files that are no bundle give nothing. partial: texts may break off (downloads always may)."""
+    A file holds one bundle, or, named .jsonl, an object in each line. Files that are no bundle give nothing. partial: texts may break off (downloads always may). Addresses are read by the tasks."""
     listed = sources if isinstance(sources, (list, tuple)) else [sources]
-    frames, broken = [], []
+    dicts, urls, lines, files = [], [], {}, {}
     for n, source in enumerate(listed):
         base = n << 40
         if isinstance(source, dict):
-            frames.append(spark.createDataFrame([(json.dumps(source),)], "value string").select("value", F.lit(base).cast("long").alias("base")))
+            dicts.append((json.dumps(source), base))
         elif str(source).startswith(("http://", "https://")):
-            text = spark.createDataFrame([(download(str(source)), base)], "value string, base long")
-            broken.append(text)
-        elif str(source).endswith(".jsonl"):
-            lines = spark.read.text(str(source))
-            frames.append(lines.select(F.concat(F.lit('{"objects":['), "value", F.lit("]}")).alias("value"), (F.lit(base) + F.monotonically_increasing_id()).alias("base")))
+            urls.append((str(source), base))
         else:
-            (broken if partial else frames).append(spark.read.text(str(source), wholetext=True).select("value", F.lit(base).cast("long").alias("base")))
+            (lines if str(source).endswith(".jsonl") else files)[str(source)] = base
+    frames, broken = [], []
+    if dicts:
+        frames.append(spark.createDataFrame(dicts, "value string, base long"))
+    if lines:
+        frames.append(_read_texts(spark, lines, False).select(F.concat(F.lit('{"objects":['), "value", F.lit("]}")).alias("value"), (F.col("base") + F.monotonically_increasing_id()).alias("base")))
+    if files:
+        (broken if partial else frames).append(_read_texts(spark, files, True))
+    if urls:
+        broken.append(spark.createDataFrame(urls, "url string, base long").repartition(len(urls)).mapInArrow(_downloaded, "value string, base long"))
     out = spark.createDataFrame([], "object string, seq long")
     if broken:
         out = reduce(DataFrame.union, broken).mapInArrow(_partial, "object string, seq long")

@@ -245,3 +245,15 @@ def test_json_lines_of_late_and_mixed_formats(spark, tmp_path):
             assert values == {e["value"] for e in flat} | {e["id.orig_h"] for e in zeek} | {"10.2.0.1"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_files_by_one_reader(spark, tmp_path):
+    """Files of a list keep its order, whatever their names; a folder and a dictionary among them."""
+    parts = connections(5)["objects"]
+    names = ["z z.json", "a.json", "m%1.json"]
+    for name, obj in zip(names, parts, strict=False):
+        (tmp_path / name).write_text(json.dumps({"objects": [obj, {"type": "x-next", "id": name}]}))
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "f.json").write_text(json.dumps({"objects": [parts[3]]}))
+    got = objects_of(bundles.read_objects(spark, [*[str(tmp_path / n) for n in names], str(tmp_path / "folder"), {"objects": [parts[4]]}]))
+    assert [o["id"] for o in got] == [x for n, p in zip(names, parts, strict=False) for x in (p["id"], n)] + [parts[3]["id"], parts[4]["id"]]

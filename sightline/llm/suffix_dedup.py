@@ -12,7 +12,9 @@ would move hundreds of bytes for each, so the array is sparse, without losing a
    of one anchor are sorted by multikey quicksort steps (eight bytes a step) to SHALLOW bytes; what is still equal then goes into blind tries,
    which order it by comparing each string with one other. Two windows at one distance before their anchors are equal if their prefixes agree to that distance and their suffixes for
    the rest; both follow from the sorted orders and the lengths of the neighbours' common prefixes.
-4. An anchor with more than HOT different runs is not put into one task: its windows are hashed and counted (aggregated before the shuffle).
+4. An anchor with more than HOT different runs is not put into one task. Its runs are cut into slices by the distance of windows from the anchor. All windows of a slice hold the same core of
+   the text, so slices of different cores share no window, and slices that are equal as a whole are counted, as runs are. Only where slices of one core differ, at the edges of
+   a frequent passage, their few windows are hashed and counted (aggregated before the shuffle).
 
 A rule says what the strings are made of: bytes (BYTES, width 400), or words (PASSAGES, any 51 words in a row). Words stand between white space
 and are compared without the signs (ASCII other than letters and digits) at their ends, so quotes around a passage or another line break in it hide nothing. Each becomes a
@@ -33,18 +35,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..names import quoted
 from .lsh_forest import _SPACES, _slabs
 from .pretokens import mix, span_hashes, window_hashes
-from .runtime import bites, cut, cuts, ddl, forget, partitions, texts, with_columns
+from .runtime import bites, cut, cuts, ddl, forget, from_rows, partitions, texts, with_columns
 
 WIDTH, GRAM = 400, 50
 SHALLOW = 32
-#: Runs of one anchor that one task may get: under 10 MB.
-HOT = 8192
+#: Runs of one anchor that one task may get, and into how many slices those of other anchors are cut.
+HOT, SLICES = 256, 8
 SLAB = 1 << 19
 _WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -159,9 +162,9 @@ def _slab(pieces: list, rows: list, places: list) -> tuple:
 
 _KEY = [("k1", pa.int64()), ("k2", pa.int64())]
 _ANCHOR = pa.schema([("rule", pa.int32()), ("h", pa.int64()), ("run", pa.int64()), *_KEY, ("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-_RUN = pa.schema([("hot", pa.bool_()), ("rule", pa.int32()), ("h", pa.int64()), *_KEY, ("first", pa.int64()), ("before", pa.int64()), ("data", pa.binary()), ("w", pa.int64())])
+_RUN = pa.schema([("hot", pa.bool_()), ("rule", pa.int32()), ("h", pa.int64()), *_KEY, ("first", pa.int64()), ("before", pa.int64()), ("data", pa.binary()), ("slice", pa.int32()), ("core", pa.int64()), ("whole", pa.int64()), ("w", pa.list_(pa.int64()))])
 _RANGE = pa.schema([*_KEY, ("rule", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
-_SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -181,28 +184,39 @@ def _find(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterato
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ANCHOR)
 
 
+def _digest(part: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _sliced(part: np.ndarray, before: int, rule: Rule) -> Iterator[tuple]:
+    """(first window, its distance before the anchor, slice, digest of the core, digest of all, hashes of the windows) of a run's slices; its first window is `before` ahead of the anchor."""
+    w = window_hashes(part, rule.width).view(np.int64).tolist()
+    far = rule.width - rule.gram + 1
+    size = -(-far // SLICES)
+    for number in range((before - len(w) + 1) // size, before // size + 1):
+        near, beyond = number * size, min((number + 1) * size, far)
+        a, b = max(0, before - beyond + 1), min(len(w), before - near + 1)
+        core = part[before - near : before - beyond + 1 + rule.width]
+        yield a, before - a, number, _digest(core), _digest(part[a : b - 1 + rule.width]), w[a:b]
+
+
 def _fetch(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
-    """The symbols of the wanted runs of each text, words as eight bytes each; of an anchor with too many runs a row for each window, with its hash."""
+    """The symbols of the wanted runs of each text, words as eight bytes each; of an anchor with too many runs a row for each slice."""
     for batch in bites(batches, "text", 1 << 20):
-        out: list[list] = [[] for _ in _RUN]
+        rows = []
         raws = [t.encode() for t in texts(batch)]
         for number, rule in enumerate(rules):
             for k1, k2, given, wanted in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2")), symbols(raws, rule), batch.column("wanted").to_pylist(), strict=True):
                 for x in wanted:
                     if x["rule"] != number:
                         continue
-                    first, last, before = x["first"], x["last"], x["at"] - x["first"]
-                    part = given[first : last + rule.width]
-                    if not x["hot"]:
-                        for column, v in zip(out, (False, number, x["h"], k1, k2, first, before, (part.astype(">u8") if rule.words else part).tobytes(), None), strict=True):
-                            column.append(v)
-                        continue
-                    n = last - first + 1
-                    s = np.arange(n)
-                    w = window_hashes(part, rule.width).view(np.int64)
-                    for column, v in zip(out, ([True] * n, [number] * n, [x["h"]] * n, [k1] * n, [k2] * n, (s + first).tolist(), (before - s).tolist(), [None] * n, w.tolist()), strict=True):
-                        column.extend(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _RUN, strict=True)], schema=_RUN)
+                    first, before = x["first"], x["at"] - x["first"]
+                    part = given[first : x["last"] + rule.width]
+                    if x["hot"]:
+                        rows += [(True, number, x["h"], k1, k2, first + a, d, None, *rest) for a, d, *rest in _sliced(part, before, rule)]
+                    else:
+                        rows.append((False, number, x["h"], k1, k2, first, before, (part.astype(">u8") if rule.words else part).tobytes(), None, None, None, None))
+        yield from_rows(rows, _RUN)
 
 
 class BlindTrie:
@@ -358,10 +372,21 @@ def repeated_ranges(docs: DataFrame, rules: tuple[Rule, ...] = (BYTES,)) -> Data
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("rule", "h", "at", "first", "last", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))
     runs = cut(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(lambda b: _fetch(b, rules), _ddl(_RUN)))
     cold = runs.where("not hot").repartition(n, "h").mapInArrow(lambda b: _sort(b, rules), _ddl(_RANGE))
-    hot = runs.where("hot").select("h", "k1", "k2", "rule", "first", "before", "w")
-    twice = cut(hot.groupBy("h", "before", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    hot = hot.join(twice, ["h", "before", "w"]).select("k1", "k2", "rule", F.col("first").alias("begin"), (F.col("first") + width).alias("end"))
-    return whole.union(cold).union(hot)
+    return whole.union(cold).union(_repeated_slices(runs.where("hot"), width))
+
+
+def _repeated_slices(slices: DataFrame, width: SparkColumn) -> DataFrame:
+    """Slices of runs -> (k1, k2, rule, begin, end) as repeated_ranges() gives. `first` is a slice's first window, `before` that window's distance from the anchor."""
+    alike = ["h", "slice", "core"]
+    equal = [*alike, "before", "whole", "windows"]
+    slices = slices.withColumn("windows", F.size("w"))
+    kinds = cut(slices.groupBy(*equal).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one")))
+    mixed = cut(kinds.groupBy(*alike).agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("kinds > 1 and single > 0").select(*alike))
+    whole = slices.drop("w").join(kinds.where("n > 1").select(*equal), equal).select("k1", "k2", "rule", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + width).alias("end"))
+    ones = slices.join(kinds.join(mixed, alike).select(*equal, "one"), equal).where(F.struct("k1", "k2", "first") == F.col("one"))
+    windows = cut(ones.select("h", "k1", "k2", "rule", "first", "before", F.posexplode("w").alias("i", "w")).select("h", "k1", "k2", "rule", (F.col("first") + F.col("i")).alias("begin"), (F.col("before") - F.col("i")).alias("d"), "w"))
+    twice = cut(windows.groupBy("h", "d", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    return whole.union(windows.join(twice, ["h", "d", "w"]).select("k1", "k2", "rule", "begin", (F.col("begin") + width).alias("end")))
 
 
 def _keep(raw: bytes, ranges: list[dict]) -> tuple[bytes, int]:

@@ -166,6 +166,19 @@ def passages_removed(texts, width=51):
     return out
 
 
+@pytest.mark.parametrize("hot", [256, 3])
+def test_frequent_passages(spark, monkeypatch, hot):
+    """Passages with other neighbours in every text, cut off at different places: the anchors at their edges have many different runs, whose slices are clipped."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = letters(1500), letters(700)
+    rows = [(k, letters(rng.randrange(300)) + passage[rng.randrange(60) : len(passage) - rng.randrange(60)] + letters(rng.randrange(300))) for k in range(60)]
+    rows += [(100 + k, letters(200) + other[k % 5 :] + letters(k % 3 * 40) + passage[:500]) for k in range(30)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == removed([t.encode() for _, t in rows])
+
+
 def test_words_in_passages(docs, rows):
     got = sorted((r["doc_id"] or -1, r["n_passage_words"]) for r in suffix_dedup.digests(docs).collect())
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))

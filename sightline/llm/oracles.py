@@ -43,3 +43,44 @@ pt AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY
 pq AS (SELECT doc_id, sum(least(gap, 51)) AS n FROM pt GROUP BY 1)
 SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(q.removed, 0) AS BIGINT) AS n_removed, coalesce(q.spans, 0) AS n_spans, CAST(coalesce(pq.n, 0) AS BIGINT) AS n_passage_words, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
 FROM d LEFT JOIN q USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN pq USING (doc_id)"""
+
+
+_SPACE, _MARK = r"\t-\r\x{85}\p{Z}", "\uf8ff"
+
+
+def _encoded(path: str, given: str) -> str:
+    """CTEs that end with p(k, w, i), the pre-tokens of the texts of the relation `given` (k, text), and c(w, n, ids, bytes), each distinct one's ids and their bytes in hexadecimal digits.
+
+    Byte-pair merges by the ranks of a file. SQL's patterns can't look ahead, so a mark first parts the last white space of a run from those before it."""
+    little = "lpad(lower(to_hex(r % 256)), 2, '0') || lpad(lower(to_hex(r // 256 % 256)), 2, '0') || lpad(lower(to_hex(r // 65536 % 256)), 2, '0') || '00'"
+    return rf"""
+r AS (SELECT hex(from_base64(t)) AS t, r FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'BIGINT'}})),
+e AS (SELECT k, regexp_extract_all(regexp_replace(text, '([{_SPACE}]+)([{_SPACE}])([^{_SPACE}])', '\1{_MARK}\2\3', 'g'), '{_MARK}|''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}{_MARK}]+|[{_SPACE}]+') AS w FROM {given}),
+p AS (SELECT * FROM (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM e) WHERE w <> '{_MARK}'),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM p)),
+b(w, parts) AS (
+  SELECT w, CASE WHEN h IN (SELECT t FROM r) THEN [h] ELSE [h[2 * i + 1:2 * i + 2] FOR i IN range(0, len(h) // 2)] END FROM v
+  UNION ALL
+  SELECT w, parts[1:best.i - 1] || [parts[best.i] || parts[best.i + 1]] || parts[best.i + 2:] FROM (
+    SELECT w, parts, min({{'r': r.r, 'i': i}}) AS best FROM (SELECT w, parts, unnest(range(1, len(parts))) AS i FROM b) x JOIN r ON r.t = x.parts[i] || x.parts[i + 1] GROUP BY w, parts)),
+f AS (SELECT w, arg_min(parts, len(parts)) AS parts FROM b GROUP BY w),
+c AS (SELECT w, count(*) AS n, string_agg({little}, '' ORDER BY i) AS ids, string_agg(r.t, '' ORDER BY i) AS bytes FROM (SELECT w, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM f) x JOIN r USING (t) GROUP BY w)"""
+
+
+def op7(path: str) -> str:
+    """The texts, and the texts after edit_counts.sample_edits(), encoded from the start."""
+    return rf"""
+WITH RECURSIVE d0 AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t0, length(coalesce(text, '')) AS n FROM documents),
+d1 AS (SELECT *, t0[1:n // 4] || substr(t0, greatest(n // 2, 1), 24) || t0[n // 4 + 1:] AS t1 FROM d0),
+d2 AS (SELECT *, t1[1:n // 2] || t1[n // 2 + 12:] AS t2 FROM d1),
+d AS (SELECT *, t2[1:n * 3 // 4] || ' it''s 2024!' || chr(10) || chr(10) || t2[n * 3 // 4 + 6:] AS t3 FROM d2),
+x AS (SELECT 2 * k AS k, t0 AS text FROM d UNION ALL SELECT 2 * k + 1, t3 FROM d),{_encoded(path, "x")},
+g AS (SELECT k, CAST(sum(n) AS BIGINT) AS n, count(*) AS words FROM p JOIN c USING (w) GROUP BY k)
+SELECT d.doc_id, coalesce(a.n, 0) AS n_tokens, coalesce(a.words, 0) AS n_pretokens, coalesce(z.n, 0) AS n_tokens_after, true AS few_reencoded FROM d LEFT JOIN g a ON a.k = 2 * d.k LEFT JOIN g z ON z.k = 2 * d.k + 1"""
+
+
+def op8(path: str) -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),{_encoded(path, "d")},
+g AS (SELECT k, CAST(sum(n) AS BIGINT) AS n, string_agg(ids, '' ORDER BY i) AS ids, string_agg(bytes, '' ORDER BY i) AS bytes FROM p JOIN c USING (w) GROUP BY k)
+SELECT d.doc_id, coalesce(g.n, 0) AS n_tokens, sha256(unhex(coalesce(g.ids, ''))) AS ids_sha256, sha256(unhex(coalesce(g.bytes, ''))) AS decoded_sha256 FROM d LEFT JOIN g USING (k)"""

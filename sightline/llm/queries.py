@@ -12,6 +12,10 @@ from . import byte_cnn, cover_tree_dedup, decision_list, edit_counts, license_sc
 from .runtime import table
 
 
+#: Of op7's three edits: each brings up to 24 characters and touches its neighbours.
+FEW = 64
+
+
 def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -45,8 +49,10 @@ def op6_open_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", edit_counts.sample_edits())
-    return edit_counts.recount(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("text")
+    """Counts before and after edits that follow from each text, by trees kept as records; few_reencoded: whether the edits had at most FEW pre-tokens encoded again."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    trees = edit_counts.plant(docs, path).withColumn("edits", edit_counts.sample_edits())
+    return edit_counts.edit(trees, path).select("doc_id", "n_tokens", "n_pretokens", "n_tokens_after", (F.col("n_reencoded") <= FEW).alias("few_reencoded"))
 
 
 def op8_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +85,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_cover_tree_embeddings": oracles.OP1,
         "op2_dice_licenses": license_scan.oracle(),
         "op3_lsh_forest_documents": oracles.OP3,
+        "op7_edit_aware_counts": oracles.op7(public_tokenizers.path("byte_bpe_50k.tiktoken")),
+        "op8_distinct_word_bpe": oracles.op8(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
         "op10_suffix_array_dedup": oracles.OP10,
     }

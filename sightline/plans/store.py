@@ -10,6 +10,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ VERSION = "2.2"
 PRIVATE = ("__contains", "__reflist", "__queries")
 EDGE = ("ref_name", "source_ref", "target_ref", "sco_id", "query_id")
 DELTAS = 6
+#: Tables that are merged at a time.
+AT_A_TIME = 8
 
 
 @codec.known
@@ -255,21 +258,24 @@ class Store:
         try:
             rows = self.spark.read.schema(bundles.ROWS).parquet(staged)
             kinds = bundles.column_kinds(rows)
-            tags = None
+            new = {}
             for sco_type, columns in kinds.items():
                 known = self.paths.setdefault(sco_type, {})
                 known.update({n: p for n, (_, p) in columns.items() if n not in known})
-                new = bundles.typed(rows, sco_type, columns)
-                self._absorb(sco_type, new, overwrite)
-                if sco_type not in PRIVATE and query_id is not None:
-                    mine = new.select(F.col("id").alias("sco_id"), F.lit(str(query_id)).alias("query_id"))
-                    tags = mine if tags is None else tags.union(mine)
-            if tags is not None:
-                self._absorb("__queries", tags)
+                new[sco_type] = bundles.typed(rows, sco_type, columns)
+            if query_id is not None:
+                new["__queries"] = rows.where(~F.col("type").isin(*PRIVATE)).select(F.col("id").alias("sco_id"), F.lit(str(query_id)).alias("query_id"))
+            self._absorb_all(new, overwrite)
             self._save()
         finally:
             fs.delete(path, True)
 
+    def _absorb_all(self, new: dict[str, DataFrame], overwrite: bool = False) -> None:
+        """Merges rows into several tables at a time: their jobs don't depend on each other."""
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            for done in [pool.submit(self._absorb, name, df, overwrite) for name, df in new.items()]:
+                done.result()
+
     def _absorb(self, name: str, new: DataFrame, overwrite: bool = False) -> None:
         """Merges rows into a table. Edges are added once. Of objects, one row for each id: first and last times and counts combine, of other columns the
         last value that isn't null counts; overwrite: the new row as it is. Only rows of the new ids are read together and written."""
@@ -519,7 +525,7 @@ class Store:
 
     def sql(self, text: str, **args: object) -> DataFrame:
         """Spark SQL over all tables and views of the session, by their names."""
-        for name in [*self.versions, *self.views]:
+        for name in [n for n in [*self.versions, *self.views] if n.lower() in text.lower()]:
             self.relation(name).createOrReplaceTempView(_view_name(name))
         return self.spark.sql(text, args=args or None)
 

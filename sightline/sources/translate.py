@@ -283,12 +283,9 @@ def ingest(store, identity: dict, wide: DataFrame, query_id: str) -> None:
             for c in columns:
                 if c.endswith("_refs"):
                     lists.append(rows.select(F.lit(c[len(prefix) :]).alias("ref_name"), F.col(quoted(f"{prefix}id")).alias("source_ref"), F.explode(F.col(quoted(c))).alias("target_ref")))
-        for kind, table in by_type.items():
-            store._absorb(kind, table)
-            store._absorb("__queries", table.select(F.col("id").alias("sco_id"), F.lit(str(query_id)).alias("query_id")))
-        for name, parts in (("__contains", edges), ("__reflist", lists)):
-            if parts:
-                store._absorb(name, reduce(lambda a, b: a.unionByName(b), parts))
+        tags = [t.select(F.col("id").alias("sco_id"), F.lit(str(query_id)).alias("query_id")) for t in by_type.values()]
+        edge_tables = {"__queries": tags, "__contains": edges, "__reflist": lists}
+        store._absorb_all(by_type | {name: reduce(lambda a, b: a.unionByName(b), parts) for name, parts in edge_tables.items() if parts})
         store._save()
     finally:
         fs.delete(path, True)

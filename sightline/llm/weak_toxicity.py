@@ -27,9 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bites, ddl, partitions, texts, with_columns
+from .runtime import bites, ddl, texts, with_columns
 
 SAMPLE = 1500
+#: Texts of the sample that one task gets.
+TASK_ROWS = 300
 CANDIDATES = 20_000
 LEXICON = 72
 BEGINNINGS = (5, 6, 7)
@@ -195,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     rows = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(2 * sample))
     rows = rows.select(F.col("doc_id").alias("__id"), "toxic")
-    known_texts = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "__id").select("text", "toxic").repartition(partitions(docs.sparkSession))
+    known_texts = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "__id").select("text", "toxic").repartition(-(-3 * sample // TASK_ROWS))
     known_texts = known_texts.persist()
     try:
         lexicon = mine(known_texts)

@@ -36,3 +36,15 @@ def test_filters_reach_the_scan(spark):
         pytest.skip("no test tables here")
     plan = catalog.queries()["join_inner"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice" in plan and "o_orderpriority" not in plan
+
+
+def test_shifted_bundle_next_to_the_limit(spark, db, tmp_path):
+    """New times are cut to milliseconds; an event that lies past the limit by less than that stays, as in SQL."""
+    hours = 21 * 24 * 3_600_000 + 7  # of the old range, in ms: 21 old ones become a new one
+    offsets = sorted({0, hours, *(hours * (10 * k + 1) // 14_400 + d for k in range(0, 1440, 60) for d in range(-24, 48, 3) if 0 < hours * (10 * k + 1) // 14_400 + d < hours)})
+    rows = ", ".join(f"({e}, {e % 5}, 'view', 1.0, TIMESTAMP '2024-01-01' + INTERVAL {t} MILLISECONDS)" for e, t in enumerate(offsets))
+    c = duckdb.connect()
+    c.sql(f"CREATE TABLE events AS SELECT CAST(e AS BIGINT) AS event_id, CAST(u AS BIGINT) AS user_id, k AS event_type, CAST(v AS DOUBLE) AS value, t AS ts FROM (VALUES {rows}) AS x(e, u, k, v, t)")
+    c.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = sorted(tuple(r) for r in catalog.queries()["shifted_bundle"](spark, str(tmp_path)).select("e", "minute").collect())
+    assert got == sorted(c.sql(catalog.oracle_sql()["shifted_bundle"]).fetchall()) and len(got) < len(offsets)

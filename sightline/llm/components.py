@@ -32,6 +32,13 @@ class Forest:
         self.parent[max(i, j)] = min(i, j)
         return True
 
+    def roots(self) -> np.ndarray:
+        """The roots of all."""
+        parent = np.array(self.parent, np.int64)
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+        return parent
+
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

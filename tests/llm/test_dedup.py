@@ -306,3 +306,41 @@ def test_hashes_tell_patterned_texts_apart(spark):
     assert [got[i] for i in (1, 2, 3, 4, 5)] == [1, 2, 3, 4, 3]
     found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(docs).collect()}
     assert [found[i] for i, _ in rows] == removed([t.encode() for _, t in rows])
+
+
+def test_cover_tree_stripes(spark, monkeypatch, tmp_path):
+    """Blocks are written once and read by each pair of stripes: what is written and shuffled doesn't grow with the pairs. Links across stripes, cells and labels without a pivot are found."""
+    for name, value in (("BLOCK_ROWS", 16), ("STRIPE_BYTES", 24_000), ("PIVOTS", 12), ("TILES", 20), ("SEEN", 64)):
+        monkeypatch.setattr(cover_tree_dedup, name, value)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(30, 24))
+    x = (base[rng.integers(0, 30, 700)] + rng.normal(size=(700, 24)) * 0.06).astype(np.float32)
+    x[600:] = x[rng.integers(0, 40, 100)]
+    label = np.where(np.arange(700) % 50 == 0, rng.integers(10, 14, 700), rng.integers(0, 2, 700))
+    rows = [(k, x[k].tolist(), int(label[k])) for k in rng.permutation(700).tolist()]
+    got = {r["vec_id"]: r for r in cover_tree_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    u = cover_tree_dedup.unit(x)
+    linked = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    component = np.arange(700)
+    for _ in range(700):
+        component = np.minimum(component, np.where(linked, component[None, :], 700).min(axis=1))
+    assert [(got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) for k in range(700)] == [(int(linked[k].sum()), int(component[k]), bool(component[k] == k)) for k in range(700)]
+
+
+def test_cover_tree_moves_blocks_once(spark):
+    """Shuffle bytes grow with the rows, not with the pairs of blocks, where no pair can be dropped."""
+    rng = np.random.default_rng(12)
+
+    def shuffled(n: int) -> int:
+        rows = [(k, v, 1) for k, v in enumerate(rng.normal(size=(n, 32)).astype(np.float32).tolist())]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        context = spark.sparkContext._jsc.sc()
+        total = lambda: context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+        before = total()
+        assert cover_tree_dedup.near_duplicates(table).count() == n
+        context.listenerBus().waitUntilEmpty(30_000)
+        return total() - before
+
+    small, large = shuffled(6000), shuffled(24_000)
+    assert large < 5 * small and large < 24_000 * 32 * 4 * 3

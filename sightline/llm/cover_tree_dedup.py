@@ -441,7 +441,7 @@ def linked_blocks(live: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]
     alone = rings.where("cell < 0").agg(F.coalesce(F.sum(F.col("rows") * F.col("dim") * 8), F.lit(0))).first()[0]
     bytes_of = {c: sum(n.values()) * pivots[c][1] * 8 for c, n in of_cell.items()}
     most = min(STRIPE_BYTES, max(2 << 20, (sum(bytes_of.values()) + alone) // STRIPES))
-    subs = max(1, -(-most // (8 << 20)))
+    subs = max(4, -(-most // (4 << 20)))  # parts of a stripe, each built by a task
     blocks_of = np.ones((len(pivots) + 1, 1 + max((k for n in of_cell.values() for k in n), default=0)), np.int64)
     ringed, base, spread = np.zeros(len(pivots) + 1, bool), np.zeros(len(pivots) + 1, np.int64), np.ones(len(pivots) + 1, np.int64)
     groups: dict[tuple[str, int], list[int]] = {}
@@ -600,7 +600,9 @@ def linked_blocks(live: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]
                 tiles |= {(int(min(s, t)), int(max(s, t))) for s in range(base[c], base[c] + spread[c]) for t in range(base[d], base[d] + spread[d])}
     there = {r[0] for r in blocks.select("stripe").distinct().collect()}
     todo = [tile(*x) for x in sorted(tiles) if there.issuperset(x)]
-    found = [cut(reduce(DataFrame.union, todo[k : k + TILES])) for k in range(0, len(todo), TILES)]
+    # A union of single partitions alone would be one partition, and all pairs of stripes one task.
+    nothing = blocks.where("stripe < 0").select(F.col("serial").alias("a"), F.col("serial").alias("b"), F.col("serial").alias("links"))
+    found = [cut(reduce(DataFrame.union, todo[k : k + TILES], nothing)) for k in range(0, len(todo), TILES)]
     return names, reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a long, b long, links long")
 
 
